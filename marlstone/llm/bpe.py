@@ -1,10 +1,12 @@
 """Byte-level BPE over a corpus: every distinct pre-token of a block of documents crosses the cluster once.
 
 1. Each task cuts its documents into pre-tokens and numbers the distinct ones of a block (some 32 million
-   characters). A document is kept as its sequence of numbers, which is its pre-tokens with positions.
-2. The (word, block, number) rows are dealt by word and sorted, so one task sees all uses of a word together
-   and encodes it once. A word has one row a block at most, so no word is a hot key.
-3. Ids go back by block and meet the documents' sequences there. A block is bounded, however large the corpus.
+   characters), frequent ones first. A document is kept as its sequence of numbers, which is its pre-tokens with
+   positions.
+2. A block's words go out in buckets by a hash of the word, sorted and compressed, so the task of a bucket sees all
+   uses of a word and encodes it once. A word comes once a block at most, so no word is a hot key.
+3. Ids go back by block, in the order of the words, and meet the sequences there. A block is bounded, however large
+   the corpus is.
 
 Decoding joins the fixed token-byte table, one entry a token, with the ids by position.
 """
@@ -23,7 +25,10 @@ from pyspark.sql import functions as F
 from marlstone.runtime import store, table
 
 BLOCK_CHARS = 32_000_000
-WORD_PARTITIONS_ROWS = 400_000
+#: Documents for which one more bucket of words is made, and the most buckets.
+BUCKET_ROWS, BUCKETS = 5_000, 16_384
+#: Pre-tokens packed together, and encoded words that a task remembers at once.
+PACK_TOKENS, CACHE_WORDS = 1 << 17, 2_000_000
 
 
 def default_vocabulary() -> str:
@@ -44,23 +49,47 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def _pack(numbers: list[int]) -> bytes:
-    """Three byte planes, the low bytes first, compressed; their length stands in front."""
-    planes = np.array(numbers, dtype="<u4").view(np.uint8).reshape(-1, 4).T[:3].tobytes()
-    return struct.pack("<I", len(planes)) + pa.compress(planes, codec="zstd", asbytes=True)
+def _pack(numbers: np.ndarray, planes: int = 3) -> bytes:
+    """The numbers' byte planes, the low bytes first, compressed; the planes' length stands in front."""
+    raw = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T[:planes].tobytes()
+    return struct.pack("<IB", len(raw), planes) + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _unpack(packed: bytes) -> np.ndarray:
-    size = struct.unpack_from("<I", packed)[0]
-    planes = np.frombuffer(pa.decompress(packed[4:], size, codec="zstd", asbytes=True), dtype=np.uint8).reshape(3, -1)
-    return planes[0].astype(np.uint32) | planes[1].astype(np.uint32) << 8 | planes[2].astype(np.uint32) << 16
+    size, planes = struct.unpack_from("<IB", packed)
+    raw = np.frombuffer(pa.decompress(packed[5:], size, codec="zstd", asbytes=True), dtype=np.uint8).reshape(planes, -1)
+    out = np.zeros(raw.shape[1], np.uint32)
+    for k in range(planes):
+        out |= raw[k].astype(np.uint32) << (8 * k)
+    return out
 
 
-BLOCK_SCHEMA = "block long, number int, word binary, place int, doc_id long, seq binary"
+def _squeeze(raw: bytes) -> bytes:
+    return struct.pack("<I", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _blocks(pattern: str, block_chars: int):
+def _expand(packed: bytes) -> bytes:
+    return pa.decompress(packed[4:], struct.unpack_from("<I", packed)[0], codec="zstd", asbytes=True)
+
+
+#: Three kinds of rows. Words: block, bucket, data (words after their lengths). Order: block, data (the numbers of the
+#: words as the buckets have them). Documents: block, place, ids of the rows, number of pre-tokens of each, data.
+BLOCK_SCHEMA = "kind string, block long, bucket int, place int, ids array<long>, sizes array<int>, data binary"
+
+
+def _rows(kind: str, block: int, bucket=None, place=None, ids=None, sizes=None, data=None) -> pa.RecordBatch:
+    n = len(data)
+    none = lambda x, t: pa.nulls(n, t) if x is None else pa.array(x, t)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([kind] * n), pa.array([block] * n, pa.int64()), none(bucket, pa.int32()), none(place, pa.int32()), none(ids, pa.list_(pa.int64())), none(sizes, pa.list_(pa.int32())), pa.array(data, pa.binary())],
+        names=["kind", "block", "bucket", "place", "ids", "sizes", "data"],
+    )
+
+
+def _blocks(pattern: str, block_chars: int, buckets: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from zlib import crc32
+
         import regex
         from pyspark import TaskContext
 
@@ -69,26 +98,39 @@ def _blocks(pattern: str, block_chars: int):
 
         def flush():
             words = [w.encode() for w in number]
-            n, m = len(words), len(docs)
-            none = lambda k, kind: pa.nulls(k, kind)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), pa.array(words, pa.binary()), none(n, pa.int32()), none(n, pa.int64()), none(n, pa.binary())],
-                names=names,
-            )
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(m, block)), none(m, pa.int32()), none(m, pa.binary()), pa.array(np.arange(m, dtype=np.int32)), pa.array([d for d, _ in docs], pa.int64()), pa.array([s for _, s in docs], pa.binary())],
-                names=names,
-            )
-
-        names = ["block", "number", "word", "place", "doc_id", "seq"]
+            seqs = [s for _, s in docs]
+            flat = np.concatenate(seqs) if seqs else np.zeros(0, np.uint32)
+            by_use = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+            rank = np.empty(len(words), np.uint32)
+            rank[by_use] = np.arange(len(words), dtype=np.uint32)
+            home = np.array([crc32(w) % buckets for w in words], dtype=np.int64)
+            order = sorted(range(len(words)), key=words.__getitem__)
+            order = np.array(order, dtype=np.int64)
+            order = order[np.argsort(home[order], kind="stable")]
+            found, cuts = np.unique(home[order], return_index=True)
+            data = []
+            for part in np.split(order, cuts[1:]) if len(order) else []:
+                own = [words[i] for i in part]
+                data.append(_squeeze(struct.pack("<I", len(own)) + np.array([len(w) for w in own], dtype="<u4").tobytes() + b"".join(own)))
+            if data:
+                yield _rows("words", block, bucket=found.astype(np.int32), data=data)
+            yield _rows("order", block, data=[_pack(rank[order])])
+            at, place = 0, 0
+            while at < len(docs):
+                to, n = at, 0
+                while to < len(docs) and (to == at or n + len(seqs[to]) <= PACK_TOKENS):
+                    n += len(seqs[to])
+                    to += 1
+                yield _rows("docs", block, place=[place], ids=[[d for d, _ in docs[at:to]]], sizes=[[len(s) for s in seqs[at:to]]], data=[_pack(rank[np.concatenate(seqs[at:to])] if n else np.zeros(0, np.uint32))])
+                at, place = to, place + 1
+
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or ""
-                if chars and (chars + len(text) > block_chars or len(number) > 1 << 23):
+                if chars and (chars + len(text) > block_chars or len(number) > 1 << 22):
                     yield from flush()
                     block, chars, number, docs = block + 1, 0, {}, []
-                seq = [number.setdefault(w, len(number)) for w in find(text)]
-                docs.append((doc_id, _pack(seq)))
+                docs.append((doc_id, np.array([number.setdefault(w, len(number)) for w in find(text)], dtype=np.uint32)))
                 chars += len(text)
         if docs:
             yield from flush()
@@ -101,39 +143,62 @@ def _encoder(ranks, pattern: str):
         import tiktoken
 
         piece = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})._encode_single_piece
-        last, ids = None, b""
+        bucket, known = None, {}
         for batch in batches:
             out = []
-            for word in batch.column(0).to_pylist():
-                if word != last:
-                    last, ids = word, np.array(piece(word), dtype="<i4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(out, pa.binary())], names=["block", "number", "ids"])
+            for own, data in zip(batch.column(0).to_pylist(), batch.column(2)):
+                if own != bucket or len(known) > CACHE_WORDS:
+                    bucket, known = own, {}
+                raw = _expand(data.as_py())
+                n = struct.unpack_from("<I", raw)[0]
+                ends = np.cumsum(np.frombuffer(raw, "<u4", n, 4)) + 4 + 4 * n
+                at, ids = 4 + 4 * n, []
+                for end in ends.tolist():
+                    word = raw[at:end]
+                    at = end
+                    code = known.get(word)
+                    if code is None:
+                        code = known[word] = piece(word)
+                    ids.append(code)
+                sizes = np.array([len(x) for x in ids], dtype="<u4")
+                flat = np.fromiter((i for x in ids for i in x), dtype="<u4", count=int(sizes.sum()))
+                out.append(struct.pack("<I", n) + _squeeze(sizes.view(np.uint8).reshape(-1, 4).T.tobytes() + flat.view(np.uint8).reshape(-1, 4).T.tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(out, pa.binary())], names=["block", "bucket", "ids"])
 
     return encode
 
 
+def _planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _assemble(words: pa.Table, docs: pa.Table) -> pa.Table:
-    number = words.column("number").to_numpy()
-    ids = words.column("ids").to_pylist()
-    sizes = np.zeros(len(ids), dtype=np.int64)
-    sizes[number] = [len(x) // 4 for x in ids]
-    flat = np.zeros(len(ids), dtype=object)
-    flat[number] = np.array(ids + [None], dtype=object)[:-1]
-    flat = np.frombuffer(b"".join(flat.tolist()), dtype="<i4")
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    out, lengths = [], []
-    for packed in docs.column("seq").to_pylist():
-        seq = _unpack(packed)
-        n = sizes[seq]
+    words = words.sort_by("bucket")
+    sizes, flat = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
+    for data in words.column("ids").to_pylist():
+        n = struct.unpack_from("<I", data)[0]
+        raw = _expand(data[4:])
+        sizes.append(_planes(raw[: 4 * n]))
+        flat.append(_planes(raw[4 * n :]))
+    sizes, flat = np.concatenate(sizes).astype(np.int64), np.concatenate(flat).astype(np.int32)
+    begin = np.cumsum(sizes) - sizes
+    kinds = docs.column("kind").to_pylist()
+    numbers = _unpack(docs.column("data")[kinds.index("order")].as_py())
+    size_of, begin_of = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+    size_of[numbers], begin_of[numbers] = sizes, begin
+    doc_ids, out, lengths = [], [np.zeros(0, np.int32)], []
+    for kind, ids, counts, data in zip(kinds, docs.column("ids").to_pylist(), docs.column("sizes").to_pylist(), docs.column("data")):
+        if kind != "docs":
+            continue
+        seq = _unpack(data.as_py())
+        n = size_of[seq]
         ends = np.cumsum(n)
-        total = int(ends[-1]) if len(seq) else 0
-        at = np.arange(total) + np.repeat(starts[seq] - (ends - n), n)
-        out.append(flat[at])
-        lengths.append(total)
-    values = pa.array(np.concatenate(out).astype(np.int32) if out else np.zeros(0, np.int32))
-    offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-    return pa.table({"doc_id": docs.column("doc_id"), "ids": pa.ListArray.from_arrays(offsets, values)})
+        out.append(flat[np.arange(int(ends[-1]) if len(seq) else 0) + np.repeat(begin_of[seq] - (ends - n), n)])
+        upto = np.concatenate([[0], ends])
+        lengths.append(np.diff(upto[np.concatenate([[0], np.cumsum(counts)])]))
+        doc_ids += ids
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
+    return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.concatenate(out)))})
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -146,11 +211,12 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None =
     spark = docs.sparkSession
     pattern = pattern or default_pattern()
     ranks = spark.sparkContext.broadcast(read_ranks(vocabulary or default_vocabulary()))
-    cut = store(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_blocks(pattern, block_chars), BLOCK_SCHEMA), "bpe-blocks").df
-    words = cut.where("word is not null").select("word", "block", "number")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words.count() // WORD_PARTITIONS_ROWS))
-    coded = words.repartition(parts, "word").sortWithinPartitions("word").mapInArrow(_encoder(ranks, pattern), "block long, number int, ids binary")
-    seqs = cut.where("seq is not null").select("block", "place", "doc_id", "seq")
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(BUCKETS, -(-docs.count() // BUCKET_ROWS)))
+    cut = store(docs.mapInArrow(_blocks(pattern, block_chars, buckets), BLOCK_SCHEMA), "bpe-blocks").df
+    words = cut.where("kind = 'words'").select("bucket", "block", "data")
+    coded = words.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_encoder(ranks, pattern), "block long, bucket int, ids binary")
+    seqs = cut.where("kind <> 'words'").select("block", "kind", "place", "ids", "sizes", "data")
     return coded.groupBy("block").cogroup(seqs.groupBy("block")).applyInArrow(_assemble, "doc_id long, ids array<int>")
 
 
