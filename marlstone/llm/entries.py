@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from marlstone.llm import bpe, langid, mixing, neardup, pii, quality, vectors
+from marlstone.llm import bpe, langid, mixing, neardup, pii, quality, urlfilter, vectors
 
 
 def queries() -> dict:
-    return {"op1_embedding_dedup": vectors.op1_embedding_dedup, "op4_near_dedup": neardup.op4_near_dedup, "op5_nearest": vectors.op5_nearest, "op6_language_id": langid.op6_language_id, "op7_quality": quality.op7_quality, "op8_mix": mixing.op8_mix, "op9_pii": pii.op9_pii, "op10_bpe": bpe.op10_bpe}
+    return {
+        "op1_embedding_dedup": vectors.op1_embedding_dedup,
+        "op2_url_filter": urlfilter.op2_url_filter,
+        "op4_near_dedup": neardup.op4_near_dedup,
+        "op5_nearest": vectors.op5_nearest,
+        "op6_language_id": langid.op6_language_id,
+        "op7_quality": quality.op7_quality,
+        "op8_mix": mixing.op8_mix,
+        "op9_pii": pii.op9_pii,
+        "op10_bpe": bpe.op10_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality": quality.op7_quality, "op8_mix": mixing.OP8_SQL}
+    return {"op2_url_filter": urlfilter.OP2_SQL, "op8_mix": mixing.OP8_SQL}
