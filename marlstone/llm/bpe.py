@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.runtime import store, table
+from marlstone.runtime import store_bucketed, table, text_batches
 
 BLOCK_CHARS = 32_000_000
 #: Documents for which one more bucket of words is made, and the most buckets.
@@ -213,7 +213,9 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None =
     ranks = spark.sparkContext.broadcast(read_ranks(vocabulary or default_vocabulary()))
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(BUCKETS, -(-docs.count() // BUCKET_ROWS)))
-    cut = store(docs.mapInArrow(_blocks(pattern, block_chars, buckets), BLOCK_SCHEMA), "bpe-blocks").df
+    text_batches(spark)
+    # A block's rows are one task's, so they lie in one bucket, and the sequences need no shuffle later.
+    cut = store_bucketed(docs.mapInArrow(_blocks(pattern, block_chars, buckets), BLOCK_SCHEMA), "bpe_blocks", "block", int(spark.conf.get("spark.sql.shuffle.partitions")))
     words = cut.where("kind = 'words'").select("bucket", "block", "data")
     coded = words.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_encoder(ranks, pattern), "block long, bucket int, ids binary")
     seqs = cut.where("kind <> 'words'").select("block", "kind", "place", "ids", "sizes", "data")
