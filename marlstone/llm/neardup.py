@@ -4,9 +4,11 @@ A document's word shingles give two small collections of half keys, each a few m
 half from either collection, so 12 + 12 halves of 2 minhashes make 144 tables of 4 with 48 minhashes, not 576. Pairs
 that share a key are candidates, and full shingle sets decide.
 
-Equal sets are one class from the start, so copies cost nothing later. Within a key's members, links are sought against
-one leader at a time, and what it joins becomes one component; members that stay apart are then compared with those of
-other components. Every pair of a key is so compared or found in one component already: no cap drops any.
+Equal sets are one class from the start, so copies cost nothing later. Of the classes that share a key, all are first
+compared with one leader, and what links becomes one component; that takes most of a large group in two rounds of work
+in proportion to it. What then still lies in different components under one key is compared in blocks of 64 sets, a
+pair of blocks at a time. Every pair that shares a key is so compared or found in one component already: no cap drops
+any, and no pair of documents is ever a row unless it is a leader's.
 """
 
 from __future__ import annotations
@@ -20,16 +22,14 @@ from pyspark.sql import functions as F
 
 from marlstone.llm._words import groups, mix64, numbers, shingles, word_hashes
 from marlstone.llm.components import components
-from marlstone.runtime import Stored, store, table
+from marlstone.runtime import Stored, batch_rows, store, table, text_batches
 
 SHINGLE = 4
 HALVES = 12
 ROWS = 2
 PERCENT = 80
 STAR_ROUNDS = 2
-MORE_ROUNDS = 8
-#: Cross pairs left in the keys, over their members, from which another leader is tried before all are compared.
-PAIRS_PER_MEMBER = 16
+BLOCK = 64
 
 
 def miss(similarity: float, halves: int = HALVES, rows: int = ROWS) -> float:
@@ -51,13 +51,15 @@ def _fingerprint(own: np.ndarray) -> tuple[int, int]:
     return int(mix64(own).sum(dtype=np.uint64).astype(np.int64)), int(mix64(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64))
 
 
-def signatures(docs: DataFrame, k: int = SHINGLE, halves: int = HALVES, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, set_a, set_b (a fingerprint of the set) and 2 x halves half keys; no keys for an empty set."""
+def signatures(docs: DataFrame, k: int = SHINGLE, halves: int = HALVES, rows: int = ROWS, bands: tuple[int, int] | None = None) -> DataFrame:
+    """doc_id, n_shingles, set_a, set_b (a fingerprint of the set) and its keys: 2 x halves half keys of `rows` minhashes,
+    or with `bands` (bands, rows) plain keys. An empty set has none."""
+    count, each = bands or (2 * halves, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 2 * halves * rows
+        n = count * each
         multiply, add = numbers(31, n), numbers(32, n)
-        salt = numbers(33, 2 * halves)
+        salt = numbers(33, count)
         for batch in batches:
             size, first, second, keys = [], [], [], []
             for own in sets(batch.column(1), k):
@@ -71,7 +73,7 @@ def signatures(docs: DataFrame, k: int = SHINGLE, halves: int = HALVES, rows: in
                 least = np.empty(n, np.uint64)
                 for i in range(n):
                     least[i] = (own * multiply[i] + add[i]).min()
-                half = mix64(least.reshape(2 * halves, rows) + numbers(34, rows)).sum(axis=1, dtype=np.uint64)
+                half = mix64(least.reshape(count, each) + numbers(34, each)).sum(axis=1, dtype=np.uint64)
                 keys.append(mix64(half ^ salt).astype(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(size, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
@@ -115,7 +117,87 @@ def _with_labels(members: DataFrame, labels: Stored | None) -> DataFrame:
     return members.join(labels.df, F.col("rep") == F.col("node"), "left").select(*members.columns, F.coalesce("component", "rep").alias("label"))
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, halves: int = HALVES, rows: int = ROWS) -> DataFrame:
+def _packed(k: int):
+    """Runs of sorted rows (rep, label, text, set_a) to blocks of BLOCK sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        block, keep = TaskContext.get().partitionId() << 32, []
+
+        def out():
+            return pa.RecordBatch.from_arrays(
+                [pa.array([block]), *(pa.array([[x[i] for x in keep]], pa.list_(pa.int64())) for i in range(2)), pa.array([[x[2].tobytes() for x in keep]], pa.list_(pa.binary()))],
+                names=["block", "reps", "labels", "sets"],
+            )
+
+        for batch in batches:
+            for rep, lab, mark, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), sets(batch.column(2), k)):
+                if _fingerprint(own)[0] != mark:  # a text of another class, where ids repeat
+                    continue
+                keep.append((rep, lab, own))
+                if len(keep) == BLOCK:
+                    yield out()
+                    block, keep = block + 1, []
+        if keep:
+            yield out()
+
+    return run
+
+
+def _compare(percent: int):
+    """Links between the sets of two blocks whose labels differ."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for row in range(batch.num_rows):
+                sides = []
+                for at in (0, 3):
+                    own = [np.frombuffer(x, np.uint64) for x in batch.column(at + 2)[row].as_py()]
+                    sides.append((np.array(batch.column(at)[row].as_py()), np.array(batch.column(at + 1)[row].as_py()), own, np.array([len(x) for x in own])))
+                (r1, l1, s1, n1), (r2, l2, s2, n2) = sides
+                # the sets as 0/1 rows over the shingles that both blocks have, a product of which counts what pairs share
+                common = np.intersect1d(np.concatenate(s1), np.concatenate(s2))
+                both = np.zeros((len(s1), len(s2)), np.float32)
+                for lo in range(0, len(common), 1 << 15):
+                    part = common[lo : lo + (1 << 15)]
+                    one, two = (np.stack([np.isin(part, x, assume_unique=True) for x in s]).astype(np.float32) for s in (s1, s2))
+                    both += one @ two.T
+                linked = (100 * both >= percent * (n1[:, None] + n2[None, :] - both)) & (l1[:, None] != l2[None, :])
+                i, j = np.nonzero(linked)
+                a += r1[i].tolist()
+                b += r2[j].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _in_blocks(rest: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between classes of `rest` (key, rep, label) that share a key and differ in label."""
+    spark = rest.sparkSession
+    # Neighbours under a key lie near each other when sorted by the least label they meet there.
+    meets = rest.groupBy("key").agg(F.min("label").alias("meet"))
+    placed = rest.join(meets, "key").groupBy("rep", "label").agg(F.min("meet").alias("meet"))
+    rows = placed.join(texts.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).select("rep", "label", "text", "set_a", "meet")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartitionByRange(parts, "meet", "label", "rep").sortWithinPartitions("meet", "label", "rep")
+    blocks = store(ordered.select("rep", "label", "text", "set_a").mapInArrow(_packed(k), "block long, reps array<long>, labels array<long>, sets array<binary>"), "near-blocks")
+    home = blocks.df.select("block", F.explode("reps").alias("rep"))
+    under = rest.select("key", "rep").join(home, "rep").groupBy("key").agg(F.array_sort(F.collect_set("block")).alias("own"))
+    tiles = under.select("own").distinct().select("own", F.explode("own").alias("one")).select("one", F.explode("own").alias("two")).where("one <= two").distinct()
+    side = lambda n: blocks.df.select(*[F.col(c).alias(f"{c}_{n}") for c in blocks.df.columns])
+    apart = ~((F.size(F.array_distinct(F.concat("labels_1", "labels_2")))) == 1)
+    pairs = tiles.join(side(1), F.col("one") == F.col("block_1")).join(side(2), F.col("two") == F.col("block_2")).where(apart)
+    with batch_rows(spark, 8):
+        found = store(pairs.select("reps_1", "labels_1", "sets_1", "reps_2", "labels_2", "sets_2").mapInArrow(_compare(percent), "a long, b long"), "near-links")
+    blocks.drop()
+    return found
+
+
+def near_duplicates(
+    docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, halves: int = HALVES, rows: int = ROWS, bands: tuple[int, int] | None = None, least: int = 1, keep_single: bool = True
+) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of `docs` (doc_id, text).
 
     Words are runs of anything but ASCII white space, with A-Z lowered. Documents whose sets of distinct k-word shingles
@@ -123,23 +205,29 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, h
     kept says that it is the row's own. A text of fewer than k words is one shingle; null, empty and wordless texts have
     none and are linked with nothing. Repeated rows are copies; rows that repeat an id share its component. A row whose
     doc_id is null takes no part: its component is null and it is kept. Other columns are not read.
+
+    With `bands` plain banding takes the tensored keys' place; sets of fewer than `least` shingles link with nothing;
+    without `keep_single` only rows that share a component with another row are returned.
     """
-    known = store(signatures(docs, k, halves, rows), "near-signatures")
+    spark = docs.sparkSession
+    text_batches(spark)
+    known = store(signatures(docs, k, halves, rows, bands).where(F.col("n_shingles") >= (0 if keep_single else least)), "near-signatures")
     same = ("n_shingles", "set_a", "set_b")
     classes = store(
-        known.df.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("halves").alias("halves")), "near-classes"
+        known.df.where((F.col("n_shingles") >= max(1, least)) & F.col("doc_id").isNotNull()).groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("halves").alias("halves"), F.count("*").alias("copies")), "near-classes"
     )
-    texts = None
-    # Half keys that two classes share at least, then pairs of such halves.
     each = classes.df.select("rep", "n_shingles", F.posexplode("halves").alias("at", "half"))
     live = each.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
-    lived = each.join(live, "half").groupBy("rep", "n_shingles").agg(
-        F.collect_list(F.when(F.col("at") < halves, F.col("half"))).alias("left"), F.collect_list(F.when(F.col("at") >= halves, F.col("half"))).alias("right")
-    )
-    keyed = store(
-        lived.where("size(left) > 0 and size(right) > 0").select("rep", "n_shingles", F.explode("left").alias("l"), "right").select("rep", "n_shingles", "l", F.explode("right").alias("r")).select("rep", "n_shingles", F.xxhash64("l", "r").alias("key")),
-        "near-keys",
-    )
+    lived = each.join(live, "half")
+    if bands:
+        keyed = store(lived.select("rep", "n_shingles", F.col("half").alias("key")), "near-keys")
+    else:
+        # Halves that two classes share at least, then pairs of such halves.
+        lived = lived.groupBy("rep", "n_shingles").agg(
+            F.collect_list(F.when(F.col("at") < halves, F.col("half"))).alias("left"), F.collect_list(F.when(F.col("at") >= halves, F.col("half"))).alias("right")
+        )
+        pairs = lived.where("size(left) > 0 and size(right) > 0").select("rep", "n_shingles", F.explode("left").alias("l"), "right").select("rep", "n_shingles", "l", F.explode("right").alias("r"))
+        keyed = store(pairs.select("rep", "n_shingles", F.xxhash64("l", "r").alias("key")), "near-keys")
     # Keys with the same members are one.
     shared = keyed.df.groupBy("key").agg(F.count("*").alias("c"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s"), F.min("rep").alias("low")).where("c > 1")
     unique = shared.groupBy("c", "s", "low").agg(F.min("key").alias("key")).select("key")
@@ -147,31 +235,27 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, h
     keyed.drop()
     active = members.df.select("rep").distinct().join(classes.df.select("rep", "set_a", "set_b"), "rep")
     texts = store(docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(active, "rep"), "near-texts")
-    links, labels, rounds, done = None, None, 0, False
-    limit = max(1, members.df.count())
+    links, labels = None, None
     close = lambda a, b: F.col(a) * 100 >= F.col(b) * percent
-    while not done:
+    for turn in range(STAR_ROUNDS + 1):
         now = store(_with_labels(members.df, labels), "near-labelled")
-        counts = now.df.groupBy("key", "label").agg(F.count("*").alias("c"))
-        per_key = counts.groupBy("key").agg(F.count("*").alias("labels"), F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("squares")).where("labels > 1")
-        left = per_key.agg(F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("pairs")).first().pairs
-        if not left:
-            now.drop()
+        mixed = now.df.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+        rest = store(now.df.join(mixed, "key"), "near-rest")
+        now.drop()
+        if rest.df.isEmpty():
+            rest.drop()
             break
-        rest = now.df.join(per_key.select("key"), "key")
-        done = rounds >= STAR_ROUNDS and left <= PAIRS_PER_MEMBER * limit or rounds >= STAR_ROUNDS + MORE_ROUNDS
-        if done:
-            one = rest.select("key", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("n_shingles").alias("na"))
-            two = rest.select("key", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("n_shingles").alias("nb"))
-            pairs = one.join(two, "key").where(F.col("a") < F.col("b"))
-        else:
-            leader = rest.groupBy("key").agg(F.min_by(F.struct("rep", "label", "n_shingles"), F.xxhash64("rep", F.lit(rounds))).alias("x"))
-            pairs = rest.join(leader, "key").select(
+        if turn < STAR_ROUNDS:
+            leader = rest.df.groupBy("key").agg(F.min_by(F.struct("rep", "label", "n_shingles"), F.xxhash64("rep", F.lit(turn))).alias("x"))
+            pairs = rest.df.join(leader, "key").select(
                 F.col("x.rep").alias("a"), F.col("x.label").alias("la"), F.col("x.n_shingles").alias("na"), F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("n_shingles").alias("nb")
             )
-        pairs = pairs.where(F.col("la") != F.col("lb")).where(close("na", "nb") & close("nb", "na")).select("a", "b").distinct()
-        new = store(verify(pairs, texts.df, k, percent), "near-links")
-        now.drop()
+            pairs = pairs.where(F.col("la") != F.col("lb")).where(close("na", "nb") & close("nb", "na")).select("a", "b").distinct()
+            with batch_rows(spark, 256):
+                new = store(verify(pairs, texts.df, k, percent), "near-links")
+        else:
+            new = _in_blocks(rest.df.select("key", "rep", "label"), texts.df, k, percent)
+        rest.drop()
         old = links
         links = new if old is None else store(old.df.union(new.df), "near-links")
         for gone in (old, new) if old is not None else ():
@@ -179,12 +263,14 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, h
         if labels is not None:
             labels.drop()
         labels = components(links.df, "near-components")
-        rounds += 1
     texts.drop()
     members.drop()
-    of_class = _with_labels(classes.df.select(*same, "rep"), labels).select(*[F.col(c).alias(f"c_{c}") for c in same], F.col("label").alias("component"))
+    of_class = _with_labels(classes.df.select(*same, "rep", "copies"), labels).select(*[F.col(c).alias(f"c_{c}") for c in same], "copies", F.col("label").alias("component"))
+    if not keep_single:
+        several = of_class.groupBy(F.col("component").alias("several")).agg(F.sum("copies").alias("rows")).where("rows > 1")
+        of_class = of_class.join(several, F.col("component") == F.col("several"), "left_semi")
     on = [F.col(c) == F.col(f"c_{c}") for c in same]
-    return known.df.join(of_class, on[0] & on[1] & on[2] & F.col("doc_id").isNotNull(), "left").select(
+    return known.df.join(of_class, on[0] & on[1] & on[2] & F.col("doc_id").isNotNull(), "left" if keep_single else "inner").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept")
     )
 
