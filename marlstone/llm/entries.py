@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from marlstone.llm import bpe, langid, mixing, neardup, pii, quality, urlfilter, vectors
+from marlstone.llm import bpe, langid, mixing, neardup, passages, pii, quality, urlfilter, vectors
 
 
 def queries() -> dict:
     return {
         "op1_embedding_dedup": vectors.op1_embedding_dedup,
         "op2_url_filter": urlfilter.op2_url_filter,
+        "op3_repeats": passages.op3_repeats,
         "op4_near_dedup": neardup.op4_near_dedup,
         "op5_nearest": vectors.op5_nearest,
         "op6_language_id": langid.op6_language_id,
