@@ -184,8 +184,9 @@ def _in_blocks(rest: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     ordered = rows.repartitionByRange(parts, "meet", "label", "rep").sortWithinPartitions("meet", "label", "rep")
     blocks = store(ordered.select("rep", "label", "text", "set_a").mapInArrow(_packed(k), "block long, reps array<long>, labels array<long>, sets array<binary>"), "near-blocks")
     home = blocks.df.select("block", F.explode("reps").alias("rep"))
-    under = rest.select("key", "rep").join(home, "rep").groupBy("key").agg(F.array_sort(F.collect_set("block")).alias("own"))
-    tiles = under.select("own").distinct().select("own", F.explode("own").alias("one")).select("one", F.explode("own").alias("two")).where("one <= two").distinct()
+    # All keys that meet in a label are taken together: in the sort they are one run of blocks.
+    met = rest.select("key", "rep").join(home, "rep").join(meets, "key").groupBy("meet").agg(F.array_sort(F.collect_set("block")).alias("own"))
+    tiles = met.select("own", F.explode("own").alias("one")).select("one", F.explode(F.filter("own", lambda x: x >= F.col("one"))).alias("two")).distinct()
     side = lambda n: blocks.df.select(*[F.col(c).alias(f"{c}_{n}") for c in blocks.df.columns])
     apart = ~((F.size(F.array_distinct(F.concat("labels_1", "labels_2")))) == 1)
     pairs = tiles.join(side(1), F.col("one") == F.col("block_1")).join(side(2), F.col("two") == F.col("block_2")).where(apart)
