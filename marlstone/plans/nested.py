@@ -2,10 +2,38 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marlstone.operators import extraction as X
+from marlstone.runtime import table, text_batches
+
 
 def queries() -> dict:
-    return {}
+    return {"page_candidates_ranked": page_candidates_ranked, "page_winner": page_winner, "page_top5_candidates": page_top5_candidates, "page_markdown": page_markdown}
 
 
 def oracle_sql() -> dict[str, str]:
     return {}
+
+
+def _pages(spark: SparkSession, sf: str) -> DataFrame:
+    text_batches(spark)
+    return table(spark, sf, "pages")
+
+
+def page_candidates_ranked(spark: SparkSession, sf: str) -> DataFrame:
+    return X.ranked(_pages(spark, sf)).select("page_id", "place", "name", "source", F.round("score", 4).alias("score"), "quality", "L", "P", "H", F.round("rho", 6).alias("rho"))
+
+
+def page_winner(spark: SparkSession, sf: str) -> DataFrame:
+    render = X.should_render(F.col("quality"), F.col("score"), F.col("blocked"), F.col("text_length"), F.col("spa"))
+    return X.winners(_pages(spark, sf)).select("page_id", "title", "name", "source", F.round("score", 4).alias("score"), "quality", "kind", render.alias("render"))
+
+
+def page_top5_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    return X.top_candidates(X.ranked(_pages(spark, sf)))
+
+
+def page_markdown(spark: SparkSession, sf: str) -> DataFrame:
+    return X.winners(_pages(spark, sf)).select("page_id", "title", F.length("markdown").alias("n"), F.md5("markdown").alias("markdown_md5"))
