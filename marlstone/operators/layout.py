@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from marlstone.functions import text as T
 
@@ -14,3 +15,226 @@ def recurring_keys(lines: DataFrame, share: float = 0.45, least: int = 3, longes
     total = lines.groupBy("doc").agg(F.countDistinct("page").alias("of"))
     often = keyed.where((F.col("key") != "") & (F.length("key") <= longest)).groupBy("doc", "key").agg(F.countDistinct("page").alias("pages"))
     return often.join(total, "doc").where(F.col("pages") >= F.greatest(F.lit(least), F.floor(F.col("of") * share))).select("doc", "key", "pages")
+
+
+def drop_margins(blocks: DataFrame, recurring: DataFrame, top: float = 0.075, bottom: float = 0.06) -> DataFrame:
+    """`blocks` (doc, page, text, y0, y1, page_height) without what recurs in the margins, page numbers there, and
+    archive stamps. The recurring keys are joined by document."""
+    margin = (F.col("y0") <= F.col("page_height") * top) | (F.col("y1") >= F.col("page_height") * (1 - bottom))
+    keyed = blocks.withColumn("block_key", T.comparable(F.col("text"))).withColumn("in_margin", margin)
+    often = recurring.select(F.col("doc").alias("r_doc"), F.col("key").alias("r_key")).distinct()
+    marked = keyed.join(often, (F.col("doc") == F.col("r_doc")) & (F.col("block_key") == F.col("r_key")), "left")
+    stamp = F.col("text").rlike(r"(?i)^\s*arxiv:\d{4}\.\d{4,5}")
+    number = F.col("text").rlike(r"^\s*\d{1,4}\s*$") & F.col("in_margin")
+    kept = ~((F.col("r_key").isNotNull() & F.col("in_margin")) | stamp | number)
+    return marked.where(F.coalesce(kept, F.lit(True))).drop("block_key", "in_margin", "r_doc", "r_key")
+
+
+def body_size(blocks: DataFrame) -> DataFrame:
+    """(doc, body_size), the exact median of font sizes."""
+    return blocks.groupBy("doc").agg(F.median("font_size").alias("body_size"))
+
+
+def title_block(blocks: DataFrame, sizes: DataFrame, first: int = 20) -> DataFrame:
+    """(doc, title): of the first blocks the one that is large, high and long; ties to the earlier."""
+    delta = F.col("font_size") - F.col("body_size")
+    plausible = F.length("text").between(8, 220) & ~F.col("text").rlike(r"@|https?://|^[\d\s.,-]+$")
+    score = 25 * delta - F.col("y0") / 18 + F.least(F.length("text"), F.lit(160)) / 20 - F.when(F.col("y0") < 80, 35).otherwise(0)
+    able = blocks.join(sizes, "doc").where((F.col("ord") < first) & (delta >= 1.4) & plausible)
+    return able.groupBy("doc").agg(F.max_by("text", F.struct(score.alias("s"), (-F.col("ord")).alias("o"))).alias("title"))
+
+
+def overlapping(blocks: DataFrame, boxes: DataFrame, least: float = 0.35) -> DataFrame:
+    """`blocks` (doc, page, x0, y0, x1, y1) of which at least this share of their own area lies in one box of their page."""
+    b = boxes.select(F.col("doc").alias("b_doc"), F.col("page").alias("b_page"), *[F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")])
+    side = lambda lo, hi: F.greatest(F.lit(0.0), F.least(F.col(hi), F.col(f"b_{hi}")) - F.greatest(F.col(lo), F.col(f"b_{lo}")))
+    own = F.greatest(F.lit(1e-9), (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
+    return blocks.join(b, (F.col("doc") == F.col("b_doc")) & (F.col("page") == F.col("b_page")) & (side("x0", "x1") * side("y0", "y1") / own >= least), "left_semi")
+
+
+def grid_cells(words: DataFrame, cells: DataFrame, slack: float = 1.0) -> DataFrame:
+    """(doc, page, row, col, text): the words whose centres lie in a cell, in reading order. Both sides are small on any
+    page, and the join is by page."""
+    c = cells.select(F.col("doc").alias("c_doc"), F.col("page").alias("c_page"), "row", "col", *[F.col(x).alias(f"c_{x}") for x in ("x0", "y0", "x1", "y1")])
+    mid = lambda a, b: (F.col(a) + F.col(b)) / 2
+    inside = mid("x0", "x1").between(F.col("c_x0") - slack, F.col("c_x1") + slack) & mid("y0", "y1").between(F.col("c_y0") - slack, F.col("c_y1") + slack)
+    hit = c.join(words, (F.col("doc") == F.col("c_doc")) & (F.col("page") == F.col("c_page")) & inside, "left")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct(F.round("y0", 1).alias("y"), F.col("x0").alias("x"), F.col("text").alias("t"))))), lambda w: w["t"]), " ")
+    return hit.groupBy(F.col("c_doc").alias("doc"), F.col("c_page").alias("page"), "row", "col").agg(text.alias("text"))
+
+
+def word_lines(words: DataFrame) -> DataFrame:
+    """`words` (doc, page, x0, y0, x1, y1, text) with line, counted from the top. A word joins the line above while its
+    centre is within 0.45 median heights (3.2 to 6.5) of that line's running median; the fold is a page's own."""
+
+    def lines(page):
+        import numpy as np
+
+        page = page.assign(mid=(page.y0 + page.y1) / 2).sort_values(["mid", "x0"], kind="stable")
+        limit = float(np.clip(0.45 * np.median(page.y1 - page.y0), 3.2, 6.5))
+        out, now, n = [], [], 0
+        for y in page.mid:
+            if now and abs(y - float(np.median(now))) > limit:
+                n, now = n + 1, []
+            now.append(y)
+            out.append(n)
+        return page.drop(columns="mid").assign(line=out)
+
+    return words.groupBy("doc", "page").applyInPandas(lines, StructType([*words.schema.fields, StructField("line", IntegerType())]))
+
+
+def column_anchors(x_positions: list[float], widths: list[float], support: int = 2) -> list[float]:
+    """Where columns begin: left edges clustered within 1.35 median character widths (4.5 to 7.5), two at least."""
+    from statistics import median
+
+    if not x_positions:
+        return []
+    limit = min(7.5, max(4.5, 1.35 * median(widths))) if widths else 4.5
+    groups: list[list[float]] = []
+    for x in sorted(x_positions):
+        if groups and abs(x - median(groups[-1])) <= limit:
+            groups[-1].append(x)
+        else:
+            groups.append([x])
+    return [median(g) for g in groups if len(g) >= support]
+
+
+def table_from_words(words: DataFrame) -> DataFrame:
+    """(doc, page, rows): words put into lines, lines into columns by the nearest anchor; a matrix of cells a page."""
+
+    def build(page):
+        import pandas as pd
+
+        anchors = column_anchors(page.x0.tolist(), ((page.x1 - page.x0) / page.text.str.len().clip(lower=1)).tolist())
+        rows = []
+        for _, line in page.sort_values(["line", "x0"]).groupby("line"):
+            cells = [""] * max(1, len(anchors))
+            for x, t in zip(line.x0, line.text):
+                k = min(range(len(anchors)), key=lambda i: abs(anchors[i] - x)) if anchors else 0
+                cells[k] = f"{cells[k]} {t}".strip()
+            rows.append(cells)
+        return pd.DataFrame({"doc": [page.doc.iloc[0]], "page": [page.page.iloc[0]], "rows": [rows]})
+
+    kind = words.schema
+    return word_lines(words).groupBy("doc", "page").applyInPandas(build, f"doc {kind['doc'].dataType.simpleString()}, page {kind['page'].dataType.simpleString()}, rows array<array<string>>")
+
+
+# ---- rows of cells -------------------------------------------------------------------------------------------------
+
+
+def filled(rows):
+    """Number of cells with text."""
+    return F.aggregate(rows, F.lit(0), lambda n, r: n + F.size(F.filter(r, lambda c: F.trim(c) != "")))
+
+
+def width(rows):
+    return F.aggregate(rows, F.lit(0), lambda n, r: F.greatest(n, F.size(r)))
+
+
+def compact(rows):
+    """Without empty rows and repeated ones; the first of each stays."""
+    return F.array_distinct(F.filter(rows, lambda r: F.exists(r, lambda c: F.trim(c) != "")))
+
+
+def numeric_ratio(rows):
+    """Share of the cells with text that hold a digit."""
+    digits = F.aggregate(rows, F.lit(0), lambda n, r: n + F.size(F.filter(r, lambda c: c.rlike(r"\d"))))
+    return F.when(filled(rows) > 0, digits / filled(rows)).otherwise(F.lit(0.0))
+
+
+def is_useful_table(rows):
+    return (F.size(rows) >= 2) & (width(rows) >= 2) & (filled(rows) >= 4)
+
+
+def is_useful_reconstruction(rows):
+    return (F.size(rows) >= 3) & width(rows).between(2, 32) & (filled(rows) >= 8)
+
+
+# ---- lines of text -------------------------------------------------------------------------------------------------
+
+# Signs that formulas are made of.
+MATH = r"[=+\-*/^_∑∏∫√∞≈≠≤≥±×÷∂∇∈∉⊂⊆∪∩→⇒⇔αβγδεθλμπρσφψωΓΔΘΛΠΣΦΨΩ]"
+
+
+def symbol_density(line):
+    """Mathematical signs over all signs that are not blank."""
+    n = F.length(F.regexp_replace(line, r"\s", ""))
+    return F.when(n > 0, F.regexp_count(line, F.lit(MATH)) / n).otherwise(F.lit(0.0))
+
+
+def is_formula_number(line):
+    return line.rlike(r"^\s*\(\d+[a-z]?\)\s*$")
+
+
+def is_formula(line):
+    return line.rlike(MATH) & (line.rlike(r"\(\d+[a-z]?\)\s*$") | (symbol_density(line) >= 0.08))
+
+
+def is_caption(line):
+    return line.rlike(r"(?i)^\s*(figure|fig\.|table)\s+\d+")
+
+
+def is_bullet(line):
+    return line.rlike(r"^\s*(?:[•‣▪◦●–*-]|[a-z]\))\s+\S")
+
+
+def is_list_line(line):
+    return is_bullet(line) | line.rlike(r"^\s*(?:\d{1,2}[.)]|\(\d{1,2}\))\s+\S")
+
+
+def list_line(line):
+    return F.when(is_bullet(line), F.regexp_replace(line, r"^\s*(?:[•‣▪◦●–*-]|[a-z]\))\s+", "- ")).otherwise(F.regexp_replace(line, r"^\s*\(?(\d{1,2})[.)]\s+", "$1. "))
+
+
+def is_heading(line):
+    """A line that reads as a heading: short, no sentence, and numbered, in capitals, or a chapter."""
+    words = F.size(F.split(F.trim(line), r"\s+"))
+    short = (F.length(F.trim(line)).between(3, 120)) & (words <= 14) & ~line.rlike(r"[.;,:]\s*$")
+    numbered = line.rlike(r"^\s*\d{1,2}(?:\.\d{1,2})*\.?\s+\p{Lu}")
+    chapter = line.rlike(r"^\s*第[一二三四五六七八九十百\d]+[章节]")
+    named = F.lower(F.trim(line)).isin("abstract", "introduction", "conclusion", "conclusions", "references", "acknowledgements", "appendix")
+    capitals = (F.upper(line) == line) & line.rlike(r"\p{Lu}{3}") & (words <= 10)
+    return short & (numbered | chapter | named | capitals)
+
+
+def layout_heading(line, font_size, bold, body):
+    words = F.size(F.split(F.trim(line), r"\s+"))
+    return ((font_size >= body + 1.4) & (words <= 18)) | (bold & (font_size >= body + 0.2) & (words <= 12))
+
+
+def is_noise_line(line, index=None, total=None):
+    """An archive stamp, or a bare page number among the first or last three lines."""
+    number = line.rlike(r"^\s*\d{1,4}\s*$")
+    near = F.lit(False) if index is None else (index < 3) | (index >= total - 3)
+    return line.rlike(r"(?i)^\s*arxiv:\d{4}\.\d{4,5}") | (number & near)
+
+
+def ends_paragraph(line):
+    return line.rlike(r"[.!?。！？:]\s*$") | (line.rlike(r"\)\s*$") & (F.length(line) > 80))
+
+
+def repaired(text):
+    """Words that a line or page end tore apart are whole again; numbered headings have their blank."""
+    return T.replaced(text, (r"(\p{L})-\n+(?:#+ Page \d+\n+)?(\p{Ll})", "$1$2"), (r"(?m)^(\d+\.)(\p{Lu})", "$1 $2"))
+
+
+def paragraphs_of(lines: DataFrame) -> DataFrame:
+    """`lines` (doc, page, ord, text) to paragraphs (doc, page, paragraph, kind, text): a gap-and-island count over each
+    page. Headings, captions, list items and formulas stand alone; other lines join until a sentence ends."""
+    from pyspark.sql import Window
+
+    page = Window.partitionBy("doc", "page").orderBy("ord")
+    line = F.col("text")
+    kind = F.when(is_heading(line), "heading").when(is_caption(line), "caption").when(is_list_line(line), "list").when(is_formula(line), "formula").otherwise("text")
+    typed = lines.where(F.trim("text") != "").withColumn("kind", kind)
+    before, ended = F.lag("kind").over(page), F.lag(ends_paragraph(line)).over(page)
+    fresh = F.when((F.col("kind") == "text") & (before == "text") & ~ended, 0).otherwise(1)
+    counted = typed.withColumn("fresh", fresh).withColumn("paragraph", F.sum("fresh").over(page.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: F.trim(x["text"])), "\n")
+    whole = counted.groupBy("doc", "page", "paragraph", "kind").agg(joined.alias("raw"))
+    return whole.select("doc", "page", "paragraph", "kind", F.regexp_replace(repaired(F.col("raw")), r"\s*\n\s*", " ").alias("text"))
+
+
+def iso_date(value):
+    """D:YYYYMMDD... as YYYY-MM-DD; null where it is none."""
+    return F.when(value.rlike(r"^D?:?\d{8}"), F.regexp_replace(value, r"^D?:?(\d{4})(\d{2})(\d{2}).*$", "$1-$2-$3"))
