@@ -202,7 +202,8 @@ def train(docs: DataFrame, labelled: DataFrame, sample_rows: int = SAMPLE_ROWS)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
 
     # the sample's size is bounded by its parameter, so its ids may go to every task
-    both = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    both = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("doc_id", "quality", "text")
     got = both.mapInArrow(pool, "doc_id long, quality int, x array<double>").toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
     x = np.array(got.column("x").to_pylist(), float).reshape(got.num_rows, 2 * DIMENSIONS + 2)
     return vectors, fit(x, got.column("quality").to_numpy())

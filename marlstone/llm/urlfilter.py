@@ -55,12 +55,13 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     a hot key of the left side alone, which Spark splits, as each pattern has few intervals.
     """
     columns = [c for c in captures.columns if c not in ("blocked", "n_entries", "lists")]
-    distinct = captures.where("url is not null and fetched_at is not null").select(F.col("url").alias("u"), F.col("fetched_at").alias("t")).distinct()
-    asked = distinct.select("u", "t", F.explode(keys_of(F.col("u"))).alias("key")).select("u", "t", F.col("key.kind").alias("k"), F.col("key.pattern").alias("p"))
+    distinct = captures.where("url is not null and fetched_at is not null").select(F.col("url").alias("uf_url"), F.col("fetched_at").alias("uf_at")).distinct()
+    asked = distinct.select("uf_url", "uf_at", F.explode(keys_of(F.col("uf_url"))).alias("key")).select("uf_url", "uf_at", F.col("key.kind").alias("uf_kind"), F.col("key.pattern").alias("uf_key"))
     held = intervals(entries)
-    hits = asked.join(held, (F.col("k") == F.col("kind")) & (F.col("p") == F.col("pattern")) & (F.col("t") >= F.col("since")) & (F.col("until").isNull() | (F.col("t") < F.col("until"))))
-    verdict = hits.groupBy("u", "t").agg(F.count("*").alias("n_entries"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"))
-    return captures.select(*columns).join(verdict, (F.col("url") == F.col("u")) & (F.col("fetched_at") == F.col("t")), "left").select(
+    holds = (F.col("uf_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("uf_at") < F.col("until")))
+    hits = asked.join(held, (F.col("uf_kind") == F.col("kind")) & (F.col("uf_key") == F.col("pattern")) & holds)
+    verdict = hits.groupBy("uf_url", "uf_at").agg(F.count("*").alias("n_entries"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"))
+    return captures.select(*columns).join(verdict, (F.col("url") == F.col("uf_url")) & (F.col("fetched_at") == F.col("uf_at")), "left").select(
         *columns, F.col("n_entries").isNotNull().alias("blocked"), F.coalesce("n_entries", F.lit(0)).alias("n_entries"), F.coalesce("lists", F.lit("")).alias("lists")
     )
 
