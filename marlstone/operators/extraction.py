@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.operators import pagefeatures as P
+from marlstone.operators import sites
 from marlstone.sources import html as H
 
 NUMBERS = (*H.FEATURES, "R", "U", "TS", "MF")
@@ -16,7 +17,7 @@ NUMBERS = (*H.FEATURES, "R", "U", "TS", "MF")
 PRIORITY = {"specialized": 7, "semantic": 6, "trafilatura": 5, "readability": 4, "jsonld": 3, "heuristic": 2, "snapshot": 1}
 RANK = {"strong": 4, "usable": 3, "weak": 2, "blocked": 1, "failed": 0}
 
-_REGISTRY: list[Callable] = []
+_REGISTRY: list[Callable] = list(sites.EXTRACTORS)
 
 
 def register_extractor(extract: Callable) -> Callable:
