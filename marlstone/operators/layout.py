@@ -238,3 +238,66 @@ def paragraphs_of(lines: DataFrame) -> DataFrame:
 def iso_date(value):
     """D:YYYYMMDD... as YYYY-MM-DD; null where it is none."""
     return F.when(value.rlike(r"^D?:?\d{8}"), F.regexp_replace(value, r"^D?:?(\d{4})(\d{2})(\d{2}).*$", "$1-$2-$3"))
+
+
+# ---- cells of extracted tables -------------------------------------------------------------------------------------
+
+
+def cell_text(c):
+    """Dot leaders to an ellipsis, no blanks before punctuation, blank lines gone; line breaks stay."""
+    plain = T.replaced(T.text0(c), (r"\r\n?", "\n"), (r"(?:[ \t]*\.[ \t]*){3,}", " … "))
+    lines = F.transform(F.split(plain, "\n"), lambda x: F.regexp_replace(T.normalized(x), r"\s+([:;,.])", "$1"))
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+
+
+def normalized_rows(rows):
+    """Clean cells; rows without text are dropped."""
+    return F.filter(F.transform(rows, lambda r: F.transform(r, cell_text)), lambda r: F.exists(r, lambda c: c != ""))
+
+
+def without_empty_columns(rows):
+    """Rows of one width without the columns that are empty in all of them, each row once."""
+    w = width(rows)
+    padded = F.transform(rows, lambda r: T.padded_row(r, w))
+    # how many cells of each column hold text, summed over the rows
+    none = F.array_repeat(F.lit(0), w)
+    used = F.aggregate(padded, none, lambda n, r: F.zip_with(n, r, lambda a, c: a + F.when(c != "", 1).otherwise(0)))
+    kept = lambda r: F.transform(F.filter(F.arrays_zip(r.alias("c"), used.alias("n")), lambda p: p["n"] > 0), lambda p: p["c"])
+    return F.array_distinct(F.transform(padded, kept))
+
+
+def renders_as_form(rows):
+    """Whether a table is rather a form: wide, mostly empty, few cells a row or long ones."""
+    w, n, full = width(rows), F.greatest(F.size(rows), F.lit(1)), filled(rows)
+    long = F.aggregate(rows, F.lit(0), lambda s, r: s + F.size(F.filter(r, lambda c: F.length(c) >= 80)))
+    per_row, blank = full / n, 1 - full / F.greatest(n * w, F.lit(1))
+    return (w >= 3) & (((w <= 4) & (long >= 2) & (per_row <= 3.5)) | ((blank >= 0.35) & ((per_row <= 3.5) | (long >= 2))))
+
+
+def form_lines(rows):
+    """A form's rows as bullets, each once."""
+    lines = F.transform(rows, lambda r: F.array_join(F.filter(F.transform(r, T.normalized), lambda c: c != ""), " | "))
+    return F.array_join(F.transform(F.array_distinct(F.filter(lines, lambda x: x != "")), lambda x: F.concat(F.lit("- "), x)), "\n")
+
+
+def coordinate_beats_extracted(extracted, coordinate):
+    """Whether cells rebuilt from word positions replace the extracted ones: 5 to 24 columns, more than before, filled
+    to 0.18, with three rows of three cells."""
+    w, n = width(coordinate), F.greatest(F.size(coordinate), F.lit(1))
+    rich = F.size(F.filter(coordinate, lambda r: F.size(F.filter(r, lambda c: c != "")) >= 3))
+    return w.between(5, 24) & (w > width(extracted)) & (filled(coordinate) / F.greatest(n * w, F.lit(1)) >= 0.18) & (rich >= 3)
+
+
+def merged_regions(regions: DataFrame) -> DataFrame:
+    """`regions` (doc, page, x0, y0, x1, y1) with adjacent ones united: a gap of -1 to 10 below, widths and overlap alike
+    to 0.8. Each region is compared with the one above it on its page."""
+    from pyspark.sql import Window
+
+    page = Window.partitionBy("doc", "page").orderBy("y0", "x0")
+    before = {c: F.lag(c).over(page) for c in ("x0", "x1", "y1")}
+    gap = F.col("y0") - before["y1"]
+    one, two = F.greatest(before["x1"] - before["x0"], F.lit(1.0)), F.greatest(F.col("x1") - F.col("x0"), F.lit(1.0))
+    shared = F.greatest(F.lit(0.0), F.least(before["x1"], F.col("x1")) - F.greatest(before["x0"], F.col("x0")))
+    joins = gap.between(-1, 10) & (F.least(one, two) / F.greatest(one, two) >= 0.8) & (shared / F.least(one, two) >= 0.8)
+    island = F.sum(F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).over(page.rowsBetween(Window.unboundedPreceding, 0))
+    return regions.withColumn("region", island).groupBy("doc", "page", "region").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))

@@ -129,3 +129,19 @@ def test_lifecycle_steps_are_known():
     from marlstone.streaming import events
 
     assert events.STEPS["finished"] == ("succeeded", 100)
+
+
+def test_table_cells(spark):
+    rows = F.array(F.array(F.lit("a ..... b"), F.lit(""), F.lit("x :")), F.array(F.lit(" "), F.lit("")), F.array(F.lit("c"), F.lit(""), F.lit("y")), F.array(F.lit("c"), F.lit(""), F.lit("y")))
+    clean = layout.normalized_rows(rows)
+    df = spark.range(1).select(clean.alias("rows"))
+    assert df.first().rows == [["a … b", "", "x:"], ["c", "", "y"], ["c", "", "y"]]
+    assert df.select(layout.without_empty_columns(F.col("rows")).alias("r")).first().r == [["a … b", "x:"], ["c", "y"]]
+    assert df.select(layout.renders_as_form(F.col("rows")).alias("r")).first().r is False
+    assert df.select(layout.form_lines(F.col("rows")).alias("r")).first().r == "- a … b | x:\n- c | y"
+
+
+def test_regions_below_each_other_are_one(spark):
+    boxes = [(1, 1, 0.0, 0.0, 100.0, 50.0), (1, 1, 1.0, 55.0, 100.0, 90.0), (1, 1, 0.0, 120.0, 100.0, 150.0), (1, 2, 0.0, 92.0, 100.0, 99.0)]
+    got = layout.merged_regions(spark.createDataFrame(boxes, "doc int, page int, x0 double, y0 double, x1 double, y1 double")).collect()
+    assert sorted((r.page, r.y0, r.y1) for r in got) == [(1, 0.0, 90.0), (1, 120.0, 150.0), (2, 92.0, 99.0)]
