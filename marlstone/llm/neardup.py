@@ -145,6 +145,16 @@ def _packed(k: int):
     return run
 
 
+def _rows_over(part: np.ndarray, own: list[np.ndarray]) -> np.ndarray:
+    """Each sorted set as a 0/1 row over the sorted shingles in `part`."""
+    out = np.zeros((len(own), len(part)), np.float32)
+    for i, x in enumerate(own):
+        x = x[np.searchsorted(x, part[0]) : np.searchsorted(x, part[-1], side="right")]
+        at = np.searchsorted(part, x)
+        out[i, at[part[at] == x]] = 1
+    return out
+
+
 def _compare(percent: int):
     """Links between the sets of two blocks whose labels differ."""
 
@@ -162,8 +172,7 @@ def _compare(percent: int):
                 both = np.zeros((len(s1), len(s2)), np.float32)
                 for lo in range(0, len(common), 1 << 15):
                     part = common[lo : lo + (1 << 15)]
-                    one, two = (np.stack([np.isin(part, x, assume_unique=True) for x in s]).astype(np.float32) for s in (s1, s2))
-                    both += one @ two.T
+                    both += _rows_over(part, s1) @ _rows_over(part, s2).T
                 linked = (100 * both >= percent * (n1[:, None] + n2[None, :] - both)) & (l1[:, None] != l2[None, :])
                 i, j = np.nonzero(linked)
                 a += r1[i].tolist()
