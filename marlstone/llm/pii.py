@@ -2,8 +2,10 @@
 
 Patterns with checks find the base spans. They and looser candidates (numbers with seven digits or more, address-like
 words) are the nodes of a document's graph. Neighbours are linked as a chain; mentions of the same thing (the same
-closing digits, the same mailbox name), however far apart, are linked by skip edges that share a potential. Loopy
-message passing over both kinds of edges labels the candidates consistently with the base spans, which are fixed.
+closing digits, the same mailbox name), however far apart, are linked to one hub by skip edges that share a potential;
+a hub whose mentions hold base spans carries their labels, so that each repeat is one edge from them. Loopy message
+passing over both kinds of edges, until no message changes, labels the candidates consistently with the base spans,
+which are fixed.
 """
 
 from __future__ import annotations
@@ -25,7 +27,10 @@ OTHER = len(KINDS)
 LABELS = len(KINDS) + 1
 #: Documents that the fit reads, by expectation; they are chosen by a hash of the id, and read whole.
 SAMPLE_DOCS = 20_000
-SWEEPS = 12
+#: Messages that change less than this have stopped.
+STILL = 1e-6
+#: After so many sweeps ever smaller steps are taken, so that messages that would swing for ever stop too.
+FREE_SWEEPS = 200
 SURE = 0.7
 
 _ANY = re.compile(r"[0-9@]").search
@@ -111,7 +116,8 @@ class Graph:
     nodes: list[tuple[int, int, int, bool]]  # label or OTHER, start, end, base
     patterns: list[int]
     chain: list[tuple[int, int]]
-    skip: list[tuple[int, int]]
+    skip: list[tuple[int, int]]  # each mention and the one before it of the same key; they are counted for the fit
+    hubs: list[tuple[int, ...]]  # all mentions of a key
     failed: list[bool]  # candidates whose shape a base pattern has, but not its checks
 
 
@@ -154,8 +160,7 @@ def graph(text: str | None) -> Graph | None:
         return None
     nodes.sort(key=lambda x: (x[1], x[2], x[0]))
     chain = [(i, i + 1) for i in range(len(nodes) - 1)]
-    same: dict[tuple, int] = {}
-    skip = []
+    same: dict[tuple, list[int]] = {}
     for i, (k, s, e, is_base) in enumerate(nodes):
         t = text[s:e]
         if "@" in t and k == 0:
@@ -167,10 +172,10 @@ def graph(text: str | None) -> Graph | None:
         else:
             keys = [("digits", _digits(t)[-9:] if len(_digits(t)) >= 9 else _digits(t)), ("digits", _digits(t)[-7:])]
         for key in dict.fromkeys(keys):
-            if key in same:
-                skip.append((same[key], i))
-            same[key] = i
-    return Graph(nodes, [_pattern(text, s, e) for _, s, e, _ in nodes], chain, list(dict.fromkeys(skip)), [failed.get(s, False) for _, s, _, _ in nodes])
+            same.setdefault(key, []).append(i)
+    hubs = list(dict.fromkeys(tuple(own) for own in same.values() if len(own) > 1))
+    skip = list(dict.fromkeys(pair for own in hubs for pair in zip(own, own[1:])))
+    return Graph(nodes, [_pattern(text, s, e) for _, s, e, _ in nodes], chain, skip, hubs, [failed.get(s, False) for _, s, _, _ in nodes])
 
 
 @dataclass
@@ -240,8 +245,9 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     return fit({(r.a, r.b): r.n for r in rows if r.what == "node"}, {(r.what, r.a, r.b): r.n for r in rows if r.what != "node"})
 
 
-def beliefs(graphs: list[Graph], model: Model, sweeps: int = SWEEPS) -> np.ndarray:
-    """Label probabilities of all nodes of all graphs, by loopy message passing on all of them at once."""
+def beliefs(graphs: list[Graph], model: Model) -> np.ndarray:
+    """Label probabilities of all nodes of all graphs, by loopy message passing on all of them at once. Each graph is
+    swept until its own messages stop changing, whatever others it is passed with."""
     sizes = np.cumsum([0] + [len(g.nodes) for g in graphs])
     patterns = np.array([p for g in graphs for p in g.patterns], dtype=np.int64)
     bits = ((patterns[:, None] >> np.arange(BITS)) & 1).astype(float)
@@ -251,25 +257,45 @@ def beliefs(graphs: list[Graph], model: Model, sweeps: int = SWEEPS) -> np.ndarr
         rows, labels = np.array(fixed).T
         unary[rows] = -50.0
         unary[rows, labels] = 0.0
-    edges = [(sizes[k] + a, sizes[k] + b, kind) for k, g in enumerate(graphs) for kind, own in ((0, g.chain), (1, g.skip)) for a, b in own]
+    edges = [(sizes[k] + a, sizes[k] + b, 0, k) for k, g in enumerate(graphs) for a, b in g.chain]
+    # Hubs are nodes after all the mentions. What is fixed needs no message, so base spans are not linked to them.
+    hubs = []
+    for k, g in enumerate(graphs):
+        for own in g.hubs:
+            known = [g.nodes[i][0] for i in own if g.nodes[i][3]]
+            if len(known) == len(own):
+                continue
+            edges += [(len(unary) + len(hubs), sizes[k] + i, 1, k) for i in own if not g.nodes[i][3]]
+            share = np.bincount(known, minlength=LABELS) / len(known) if known else np.ones(LABELS)
+            hubs.append(np.log(np.maximum(share, np.exp(-50.0))))
+    count = len(unary)
+    unary = np.concatenate([unary, np.array(hubs).reshape(-1, LABELS)])
     unary -= unary.max(axis=1, keepdims=True)
     if edges:
-        a, b, kind = np.array(edges).T
+        a, b, kind, of = np.array(edges).T
         source, target = np.concatenate([a, b]), np.concatenate([b, a])
         m = len(a)
+        of = np.concatenate([of, of])
         potential = np.exp(np.stack([model.chain, model.skip])[np.concatenate([kind, kind])])
         logs = np.zeros((2 * m, LABELS))
         back = np.concatenate([np.arange(m, 2 * m), np.arange(m)])
-        for _ in range(sweeps):
+        on, step, sweep = np.arange(2 * m), 0.5, 0
+        while len(on):
             total = unary.copy()
-            np.add.at(total, target, logs)
-            out = total[source] - logs[back]
+            np.add.at(total, target[on], logs[on])
+            out = total[source[on]] - logs[back[on]]
             out = np.exp(out - out.max(axis=1, keepdims=True))
-            new = np.log(np.maximum(np.einsum("ei,eij->ej", out, potential), 1e-30))
+            new = np.log(np.maximum(np.einsum("ei,eij->ej", out, potential[on]), 1e-30))
             new -= new.max(axis=1, keepdims=True)
-            logs = 0.5 * logs + 0.5 * new
+            moved = step * (new - logs[on])
+            logs[on] += moved
+            change = np.zeros(len(graphs))
+            np.maximum.at(change, of[on], np.abs(moved).max(axis=1))
+            on = on[change[of[on]] >= STILL]
+            sweep += 1
+            step *= 0.9 if sweep > FREE_SWEEPS else 1
         np.add.at(unary, target, logs)
-    p = np.exp(unary - unary.max(axis=1, keepdims=True))
+    p = np.exp(unary[:count] - unary[:count].max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True)
 
 

@@ -257,6 +257,25 @@ def test_bpe_round_trip(spark, docs):
     assert bpe.encode(empty(df)).count() == 0
 
 
+def test_pii_repeats_do_not_fade():
+    # weights that do not favour the right label themselves
+    skip = np.full((pii.LABELS, pii.LABELS), -2.0) + 4.0 * np.eye(pii.LABELS)
+    weights = np.zeros((pii.BITS + 1, pii.LABELS))
+    weights[-1, pii.OTHER] = 0.5
+    model = pii.Model(weights, np.zeros((pii.LABELS, pii.LABELS)), skip)
+    number = "375 555-4393"
+    for n in (1, 2, 12, 40):
+        text = f"call +1 {number}" + f" or, said again, {number}" * n + " or 222 333-4444"
+        for texts in ([text], [text, f"+1 {number}", None, "9 8 7 at 5551234 and 5551234"]):
+            found = pii.label(texts, model)[0]
+            assert len(found) == n + 1 and {k for k, *_ in found} == {3} and sum(b for *_, b in found) == 1
+    p = pii.beliefs([g := pii.graph(text)], model)
+    alone = pii.beliefs([pii.graph("call +1 " + number + " or " + number)], model)
+    assert np.allclose(p[1:-1], alone[1], atol=1e-4) and len(p) == len(g.nodes)
+    # opposed potentials swing, and stop all the same
+    assert np.isfinite(pii.beliefs([g], pii.Model(weights, -6 * skip, skip))).all()
+
+
 def test_repeated_passages(spark):
     rng = random.Random(8)
     passage = sentence(rng, 60)
