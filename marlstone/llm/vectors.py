@@ -356,7 +356,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, recall: f
     """query_id, rank (from 1), vec_id and score (Euclidean distance in double precision) of the k nearest rows found.
 
     The tree is grown on a bounded sample and holds every row. A query takes leaves from a priority queue, best first;
-    how many is widened until CALIBRATION rows of the table, with neighbours known by brute force, reach `recall`.
+    how many is widened until CALIBRATION rows of the table, with neighbours known by brute force, reach `recall`, and
+    each query goes on until the leaves taken hold k rows that are not its own, if there are so many.
     Vectors that are unusable, without vec_id, or of another dimension than most take no part. Rows that repeat the
     query's id are its own. Fewer rows than k give all; an empty table gives none. Other columns are not read.
     """
@@ -392,7 +393,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, recall: f
             bucket, held = bucket + 1, 0
         bucket_of[leaf] = bucket
         held += sizes.get(leaf, 0)
-    homes = spark.sparkContext.broadcast(bucket_of)
+    homes = spark.sparkContext.broadcast((bucket_of, [sizes.get(leaf, 0) for leaf in range(tree.leaves)]))
     asked = index.where("is_query").count()
     chunks = max(1, -(-asked // QUERY_CHUNK))
     pieces = max(1, -(-max(sizes.values()) // BUCKET_ROWS))
@@ -400,18 +401,24 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, recall: f
     def ask(batches):
         for batch in batches:
             out = []
-            for q, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            home, rows_in = homes.value
+            for q, v, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 by: dict[int, list[int]] = {}
+                held = 0
                 for n, leaf in enumerate(shared.value.best_bins(np.array(v))):
-                    if n >= visits:
+                    if n >= visits and held >= k + own:
                         break
-                    by.setdefault(int(homes.value[leaf]), []).append(leaf)
+                    by.setdefault(int(home[leaf]), []).append(leaf)
+                    held += rows_in[leaf]
                 out += [(b, q, v, leaves) for b, leaves in by.items()]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int32())))], names=["bucket", "query_id", "q", "leaves"])
 
     chunk = F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    queries = index.where("is_query").select("vec_id", "embedding").mapInArrow(ask, "bucket int, query_id long, q array<double>, leaves array<int>").withColumn("chunk", chunk).withColumn("piece", every(pieces))
+    # rows that bear an id, where there are several
+    copies = index.groupBy("vec_id").agg(F.count("*").alias("own"), F.max("is_query").alias("any_query")).where("own > 1 and any_query").select(F.col("vec_id").alias("own_id"), "own")
+    asking = index.where("is_query").join(copies, F.col("vec_id") == F.col("own_id"), "left").select("vec_id", "embedding", F.coalesce("own", F.lit(1)).alias("own"))
+    queries = asking.mapInArrow(ask, "bucket int, query_id long, q array<double>, leaves array<int>").withColumn("chunk", chunk).withColumn("piece", every(pieces))
     mapping = F.array(*[F.lit(int(b)) for b in bucket_of]) if tree.leaves <= 64 else None
     numbered = spark.createDataFrame([(i, int(b)) for i, b in enumerate(bucket_of)], "leaf int, bucket int") if mapping is None else None
     homed = index.withColumn("bucket", F.element_at(mapping, F.col("leaf") + 1)) if mapping is not None else index.join(F.broadcast(numbered), "leaf")

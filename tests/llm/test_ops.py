@@ -151,6 +151,20 @@ def test_nearest(spark):
     assert vectors.nearest(df.where("vec_id < 3"), F.col("vec_id") == 0).count() == 2
 
 
+def test_nearest_of_lone_rows(spark):
+    rng = np.random.default_rng(6)
+    groups = rng.normal(size=(8, 6)) * 3
+    x = np.concatenate([[[500.0 + i, 0, 0, 0, 0, 0] for i in range(3)], groups[np.arange(2400) % 8]]).astype(np.float32).astype(float)
+    rows = [(i, v.tolist(), i < 2) for i, v in enumerate(x)] + [(0, x[0].tolist(), False)] * 12
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, asked boolean")
+    got = vectors.nearest(df, F.col("asked")).collect()
+    for q in (0, 1):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        found = [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q]
+        assert len(found) == 10 and all(v != q and abs(d[v] - s) < 1e-9 for v, s in found)
+        assert [v for v, _ in found][:2] == ([1, 2] if q == 0 else [0, 0])
+
+
 def test_language(spark):
     rng = random.Random(2)
     make = lambda bits: " ".join("".join(rng.choice(bits) for _ in range(rng.randint(1, 4))) for _ in range(40))
