@@ -145,3 +145,18 @@ def test_regions_below_each_other_are_one(spark):
     boxes = [(1, 1, 0.0, 0.0, 100.0, 50.0), (1, 1, 1.0, 55.0, 100.0, 90.0), (1, 1, 0.0, 120.0, 100.0, 150.0), (1, 2, 0.0, 92.0, 100.0, 99.0)]
     got = layout.merged_regions(spark.createDataFrame(boxes, "doc int, page int, x0 double, y0 double, x1 double, y1 double")).collect()
     assert sorted((r.page, r.y0, r.y1) for r in got) == [(1, 0.0, 90.0), (1, 120.0, 150.0), (2, 92.0, 99.0)]
+
+
+def test_page_snapshot_sections():
+    page = """<html><head><title>Home</title><meta name=description content="What it is"><meta property="og:type" content=website></head><body>
+    <form><input type=search name=q><input type=hidden name=t value=x><button>Go</button></form><ul><li>One item</li><li>Two items</li></ul>
+    <label>A label</label><details><summary>A summary</summary></details><dl><dt>Term</dt><dd>Meaning</dd></dl><table><tr><th>a|b</th><td>2</td></tr></table>
+    <a href="/s?x=1&q=cat">Cats</a><a href="javascript:x()">No</a><img src="/i/cat.png"><video src="/v.mp4" title=Film></video><p style="display:none">unseen</p></body></html>"""
+    md = html.snapshot(html.parse(page), "https://e.x/")
+    for part in ("What it is", "- og:type: website", "- input:search - 搜索关键词", "- button - Go", "- A label", "- A summary", "- Term", "- Meaning", "### 列表 1\n\n- One item\n- Two items",
+                 "| a\\|b | 2 |", "- [Cats](https://e.x/s?q=cat)", "- [cat.png](https://e.x/i/cat.png)", "- [Film](https://e.x/v.mp4)"):
+        assert part in md
+    assert "unseen" not in md and "javascript" not in md and "hidden" not in md
+    assert "- just some words" in html.snapshot(html.parse("<body><div>just some words</div></body>"), "https://e.x/")
+    assert html.candidates(page, "https://e.x/")[1][-1]["markdown"] == f"# Home\n\n{md}"
+    assert html.snapshot(html.parse("<body></body>"), "").startswith("## 页面快照")
