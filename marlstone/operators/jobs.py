@@ -157,3 +157,65 @@ def unique_filenames(df: DataFrame, name: str, group: str, order: str) -> DataFr
     nth = F.row_number().over(Window.partitionBy(group, name).orderBy(order))
     stem, ext = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)
     return df.withColumn("unique_name", F.when(nth == 1, F.col(name)).otherwise(F.concat(stem, F.lit("-"), nth.cast("string"), ext)))
+
+
+def created(requests: DataFrame, now: Column, secret: Column) -> DataFrame:
+    """New jobs of `requests` (id, user_id, filename, mime, requested, url, text, html, address, agent), with refusal, the
+    reason why there is none, and null in it where there is one.
+
+    The input is the file, else the text, else the HTML, though the type of the latter two is told the other way round.
+    Guests get a token hash of their own. A job expires after the days of users or the hours of guests.
+    """
+    given = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    kind = detect_source_type(F.col("filename"), F.col("requested"), F.col("url"), F.col("text"), F.col("html"))
+    user = F.col("user_id").isNotNull()
+    refusal = F.when(kind.isNull(), "source_type").when(given("filename") & ~F.coalesce(allowed_upload(F.col("filename"), F.col("mime")), F.lit(False)), "upload")
+    name = F.when(given("filename"), F.element_at(F.split(F.replace("filename", F.lit("\\"), F.lit("/")), "/"), -1)).when(F.col("text").isNotNull(), "input.txt").when(F.col("html").isNotNull(), "input.html")
+    size = F.when(~given("filename"), F.octet_length(F.coalesce("text", "html"))).cast("long")
+    return requests.select(
+        "id", F.col("user_id").alias("owner_user_id"), F.when(~user, secret_hash(secret, F.col("id").cast("string"))).alias("guest_token_hash"),
+        requester_hash(secret, F.col("address"), F.col("agent")).alias("requester_hash"), kind.alias("source_type"), F.nullif("url", F.lit("")).alias("source_url"),
+        name.alias("input_filename"), F.col("mime").alias("input_mime"), size.alias("input_size"), queue_for_source(kind).alias("queue_name"),
+        F.lit("pending").alias("status"), F.lit(0).alias("progress"), now.alias("created_at"), now.alias("updated_at"), expiry(now, user).alias("expires_at"),
+        F.lit(None).cast("timestamp").alias("deleted_at"), refusal.alias("refusal"),
+    )
+
+
+def deleted(jobs: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
+    """`jobs` with those in `ids` (id) marked as deleted at `now`; those that were deleted before stay as they are."""
+    gone = ids.select(F.col("id").alias("gone_id")).distinct()
+    marked = jobs.join(gone, F.col("id") == F.col("gone_id"), "left")
+    return marked.withColumn("deleted_at", F.when(F.col("gone_id").isNotNull(), F.coalesce("deleted_at", now)).otherwise(F.col("deleted_at"))).drop("gone_id")
+
+
+def result_status(status: Column, path: Column) -> Column:
+    """What a request for a result gets: 409 until the job has succeeded, 404 without a file, else 200."""
+    return F.when(~F.coalesce(status == "succeeded", F.lit(False)), 409).when(F.coalesce(path, F.lit("")) == "", 404).otherwise(200)
+
+
+def download(status: Column, form: Column, title: Column, job_id: Column, markdown_path: Column, zip_path: Column) -> Column:
+    """(code, name, media_type) of a download as `md` or `zip`; another form is a 400."""
+    path = F.when(form == "md", markdown_path).otherwise(zip_path)
+    code = F.when(~F.coalesce(status == "succeeded", F.lit(False)), 409).when(~form.isin("md", "zip"), 400).when(F.coalesce(path, F.lit("")) == "", 404).otherwise(200)
+    name = F.concat(F.coalesce(F.nullif(title, F.lit("")), job_id.cast("string")), F.lit("."), form)
+    return F.struct(code.alias("code"), F.when(code == 200, name).alias("name"), F.when(code == 200, F.when(form == "md", "text/markdown").otherwise("application/zip")).alias("media_type"))
+
+
+def current_users(sessions: DataFrame, users: DataFrame) -> DataFrame:
+    """`sessions` (subject, expires_at, at) with user_id: the active user of a token that is still good, else null."""
+    active = users.where("is_active").select(F.col("id").cast("string").alias("u_id"), F.col("id").alias("user_id"))
+    good = F.coalesce(F.col("expires_at") > F.col("at"), F.lit(False))
+    return sessions.join(active, (F.col("subject").cast("string") == F.col("u_id")) & good, "left").drop("u_id")
+
+
+def capabilities(settings: dict[str, str | None]) -> dict[str, object]:
+    """Which parts of the service can work, from what is installed and set (asr_provider, asr_api_key, ai_api_key)."""
+    import importlib.util
+    import shutil
+
+    provider = settings.get("asr_provider") or "local_whisper"
+    cloud = provider == "cloud_openai_compatible"
+    found = {name: shutil.which(name) is not None for name in ("ffmpeg", "ffprobe")}
+    found |= {name: importlib.util.find_spec(module) is not None for name, module in (("yt_dlp", "yt_dlp"), ("local_asr", "faster_whisper"))}
+    keys = bool(settings.get("asr_api_key") or settings.get("ai_api_key"))
+    return found | {"cloud_asr_configured": cloud and keys, "ai_summary_configured": bool(settings.get("ai_api_key")), "asr_provider": provider}

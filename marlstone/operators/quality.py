@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.functions import markdown as M
 from marlstone.functions import text as T
 
 
@@ -101,4 +102,4 @@ def convert_text(docs: DataFrame, text: str = "text", fallback: Column | None =
     """Plain texts to title and Markdown body: normalised, the first short line as title, and cleaned without it."""
     plain = docs.withColumn("body", T.plain_text(F.col(text)))
     titled = plain.withColumn("title", T.inferred_title(F.col("body"), fallback if fallback is not None else F.lit("document")))
-    return titled.withColumn("body", T.clean_markdown(F.col("body"), F.col("title")))
+    return titled.withColumn("body", M.clean_markdown(F.col("body"), F.col("title")))

@@ -82,3 +82,85 @@ def unmet(found: dict[str, Column], least: dict[str, Column], title: Column | No
     if title_contains is not None:
         tests.append(F.when(~F.lower(T.text0(title)).contains(F.lower(title_contains)), F.concat(F.lit("title_missing:"), title_contains)))
     return F.array_compact(F.array(*tests))
+
+
+def load_sites(path: str) -> list[dict[str, str]]:
+    """The `sites:` list of a YAML file, its entries being maps of one level or plain addresses. The file is small and read
+    on the driver; nothing but this shape is understood."""
+    sites: list[dict[str, str]] = []
+    inside = False
+    with open(path, encoding="utf-8") as lines:
+        for line in lines:
+            said = line.split(" #")[0].rstrip()
+            if not said.strip() or said.lstrip().startswith("#"):
+                continue
+            if not said.startswith((" ", "-")):
+                inside = said == "sites:"
+                continue
+            if not inside:
+                continue
+            said = said.strip()
+            if said.startswith("- "):
+                sites.append({})
+                said = said[2:].strip()
+            key, colon, value = said.partition(": ")
+            sites[-1][key if colon else "url"] = (value if colon else said).strip().strip("\"'")
+    return sites
+
+
+# The sections of the report with counts, and the columns of its table with what they show.
+COUNT_SECTIONS = (("status", "Status Counts"), ("quality_status", "Quality Counts"), ("extractor", "Extractors"), ("winner_source", "Winner Sources"), ("failure_reason", "Failure Reasons"))
+COLUMNS = (
+    ("Status", "status", ""), ("Quality", "quality_status", ""), ("Score", "score", "0"), ("Attempt", "attempt", "1"), ("Category", "category", ""), ("Extractor", "extractor", ""),
+    ("Source", "winner_source", ""), ("Candidates", "candidate_count", ""), ("Rendered", "rendered", ""), ("URL", "url", ""), ("Reason", "failure_reason", ""), ("Error", "error", ""),
+)
+NUMBERS = ("Score", "Attempt", "Candidates")
+
+
+def report_lines(results: DataFrame) -> DataFrame:
+    """(line) of the report's table of results, the worst first: failed before ok, then by score, then by address."""
+    said = {
+        "rendered": F.when(F.coalesce("rendered", F.lit(False)), "yes").otherwise(""), "candidate_count": F.when(F.coalesce(F.col("candidate_count"), F.lit(0)) != 0, F.col("candidate_count").cast("string")).otherwise(""),
+        "error": F.replace(F.coalesce("error", F.lit("")), F.lit("|"), F.lit("\\|")),
+    }
+    cells = [said.get(name, F.coalesce(F.col(name).cast("string"), F.lit(default))) for _, name, default in COLUMNS]
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    keys = {"k0": F.coalesce("ok", F.lit(False)), "k1": F.coalesce("score", F.lit(0.0)), "k2": F.col("url")}
+    return results.select(*[c.alias(k) for k, c in keys.items()], line.alias("line")).orderBy(*keys).select("line")
+
+
+def markdown_report(results: DataFrame, generated_at: str, total_sites: int | None = None) -> str:
+    """The report of a benchmark run (a row a site; such runs are small) as Markdown: figures, counts, and all results."""
+    one = summarize(results).first()
+    counts = summary_sets(results, [k for k, _ in COUNT_SECTIONS]).where("value <> 'unknown'").orderBy(F.desc("n"), "value").collect()
+    head = [
+        "# Web Compatibility Benchmark", "", f"- Generated: {generated_at}", f"- Sites: {one.total}", f"- Success rate: {one.success_rate:.2%}", f"- Average score: {one.average_score}",
+        f"- Retry successes: {one.retry_successes}", *([f"- Completed: {one.total / total_sites:.2%}"] if total_sites else []),
+    ]
+    for key, name in COUNT_SECTIONS:
+        own = [f"- {r.value}: {r.n}" for r in counts if r.dimension == key]
+        head += ["", f"## {name}", "", *own] if own or key in ("status", "extractor") else []
+    rule = " | ".join("---:" if name in NUMBERS else "---" for name, _, _ in COLUMNS)
+    table = ["| " + " | ".join(name for name, _, _ in COLUMNS) + " |", f"| {rule} |", *(r.line for r in report_lines(results).toLocalIterator())]
+    return "\n".join([*head, "", "## Results", "", *table, ""])
+
+
+def running_reports(results: DataFrame, order: str = "finished_at") -> DataFrame:
+    """(n, ok, success_rate, average_score) after every result: what a report written each time would say."""
+    from pyspark.sql import Window
+
+    # a run is one sequence; its rows are few
+    so_far = Window.partitionBy("run").orderBy(order, "url").rowsBetween(Window.unboundedPreceding, 0)
+    n, ok = F.count("*").over(so_far), F.count_if("ok").over(so_far)
+    return results.select("run", "url", n.alias("n"), ok.alias("ok"), F.round(ok / n, 4).alias("success_rate"), F.round(F.avg(F.coalesce("score", F.lit(0.0))).over(so_far), 2).alias("average_score"))
+
+
+def pdf_report(results: DataFrame, expected: DataFrame) -> DataFrame:
+    """(id, url, ok, failures) of converted samples against `expected` (id, url, min_pages, min_formulas, min_inline_images,
+    min_tables, title_contains). `results` has id, title, page_count, formula_count, image_count, table_count and error; a
+    sample without result, or with an error, fails."""
+    joined = expected.join(results.withColumnRenamed("id", "r_id"), F.col("id") == F.col("r_id"), "left")
+    pairs = {"page_count": "min_pages", "formula_count": "min_formulas", "image_count": "min_inline_images", "table_count": "min_tables"}
+    missed = unmet({k: F.col(k) for k in pairs}, {k: F.coalesce(F.col(v), F.lit(0)) for k, v in pairs.items()}, F.col("title"), F.coalesce("title_contains", F.lit("")))
+    failures = F.when(F.col("r_id").isNull(), F.array(F.lit("no result"))).when(F.col("error").isNotNull(), F.array(F.concat(F.lit("error: "), "error"))).otherwise(missed)
+    return joined.select("id", "url", (F.size(failures) == 0).alias("ok"), failures.alias("failures"))

@@ -42,3 +42,28 @@ def conversations_as_recordings(turns: DataFrame, seconds: int = 5) -> DataFrame
     order = F.array_sort(F.collect_list(F.struct("turn", "text")))
     timed = F.transform(order, lambda x, i: F.struct((i * seconds).cast("double").alias("start"), ((i + 1) * seconds).cast("double").alias("end"), x["text"].alias("text")))
     return turns.groupBy("conv_id").agg(timed.alias("segments"))
+
+
+def convert_audio(recordings: DataFrame, provider: str = "LocalWhisperProvider") -> DataFrame:
+    """Transcribed `recordings` (filename, segments, text, language, duration) as conversions: title, body (the entries'
+    texts, a blank line between them), timeline, language, duration and the counts of the metadata. Recordings without
+    segments have their whole text; null ones have an empty body."""
+    timed = timeline(recordings, "segments", "text", "duration")
+    body = F.array_join(F.transform("timeline", lambda e: e["text"]), "\n\n")
+    name = F.element_at(F.split("filename", "/"), -1)
+    return timed.select(
+        F.regexp_replace(name, r"(?<=.)\.[^.]*$", "").alias("title"), F.lit("audio").alias("source_type"), body.alias("body"), "timeline", "language",
+        F.coalesce("duration_label", F.when(F.col("duration").isNotNull(), T.timestamp(F.col("duration")))).alias("duration"),
+        F.struct(F.lit("audio").alias("converter"), F.lit(provider).alias("asr_provider"), F.size("timeline").alias("segment_count"), F.length(body).alias("character_count"), name.alias("input_filename")).alias("metadata"),
+    )
+
+
+def asr_provider(setting: Column) -> Column:
+    """The provider that a setting names."""
+    return F.when(setting == "cloud_openai_compatible", "CloudOpenAICompatibleProvider").otherwise("LocalWhisperProvider")
+
+
+def process_error(stderr: Column, stdout: Column, code: Column, most: int = 800) -> Column:
+    """The last characters of what a failed process said, or its exit code."""
+    said = F.btrim(F.coalesce(F.nullif(stderr, F.lit("")), F.nullif(stdout, F.lit("")), F.lit("")))
+    return F.when(said == "", F.concat(F.lit("exit code "), code.cast("string"))).when(F.length(said) > most, F.substring(said, -most, most)).otherwise(said)

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions import markdown as M
 from marlstone.functions import text as T
 from marlstone.operators import jobs as J
 from marlstone.operators import quality as Q
 from marlstone.operators import reports as R
 from marlstone.operators import transcript as S
 from marlstone.plans import classical, pages_sql
-from marlstone.runtime import table
+from marlstone.runtime import spread, table
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -76,7 +77,7 @@ rated AS (SELECT *, CASE WHEN quality_score < 25 THEN CASE WHEN w_none = 1 THEN
 
 
 def scored_documents(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").withColumn("body", T.plain_text(F.col("text")))
+    docs = spread(table(spark, sf, "documents")).withColumn("body", T.plain_text(F.col("text")))
     return Q.score_conversions(docs.withColumn("title", T.inferred_title(F.col("body"), F.lit("document"))))
 
 
@@ -112,18 +113,18 @@ def doc_quality_vs_label(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(rf"SELECT doc_id, md5({_PLAIN}) AS plain_md5, md5(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) AS flat_md5 FROM documents")
 def doc_normalize_text(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.md5(T.plain_text(F.col("text"))).alias("plain_md5"), F.md5(T.normalized(F.col("text"))).alias("flat_md5"))
+    return spread(table(spark, sf, "documents")).select("doc_id", F.md5(T.plain_text(F.col("text"))).alias("plain_md5"), F.md5(T.normalized(F.col("text"))).alias("flat_md5"))
 
 
 @query(rf"WITH plain AS (SELECT doc_id, {_PLAIN} AS body FROM documents) SELECT doc_id, CASE WHEN length({_TITLE}) <= 90 THEN {_TITLE} ELSE 'doc-' || doc_id END AS title FROM plain")
 def doc_infer_title(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", T.inferred_title(T.plain_text(F.col("text")), F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))).alias("title"))
+    return spread(table(spark, sf, "documents")).select("doc_id", T.inferred_title(T.plain_text(F.col("text")), F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))).alias("title"))
 
 
 @query(r"""WITH w AS (SELECT doc_id, array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT starts_with(x, '#')), ' ') AS j FROM documents)
 SELECT doc_id, CASE WHEN j = '' THEN 'No summary.' WHEN length(j) > 480 THEN j[1:480] || '...' ELSE j END AS summary FROM w""")
 def doc_summary_fallback(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", T.summary(F.col("text")).alias("summary"))
+    return spread(table(spark, sf, "documents")).select("doc_id", T.summary(F.col("text")).alias("summary"))
 
 
 _PRINT = r"lower(regexp_replace(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))[1:500], '[^\p{L}\p{N}_]+', '', 'g'))"
@@ -131,7 +132,7 @@ _PRINT = r"lower(regexp_replace(trim(regexp_replace(coalesce(text, ''), '\s+', '
 
 @query(rf"WITH f AS (SELECT doc_id, md5({_PRINT}) AS print FROM documents) SELECT print, min(doc_id) AS first_doc, count(*) AS n FROM f GROUP BY print")
 def doc_fingerprint_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    prints = table(spark, sf, "documents").select("doc_id", F.md5(T.fingerprint(F.col("text"))).alias("print"))
+    prints = spread(table(spark, sf, "documents")).select("doc_id", F.md5(T.fingerprint(F.col("text"))).alias("print"))
     return prints.groupBy("print").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
 
 
@@ -140,7 +141,7 @@ w AS (SELECT doc_id, t, regexp_extract_all(lower(t), '[\p{L}\p{N}_]+') AS u FROM
 g AS (SELECT doc_id, t, u, list_transform(range(1, greatest(len(u) - 3, 1)), lambda i: array_to_string(u[i:i + 4], chr(1))) AS g FROM w)
 SELECT doc_id, round(CASE WHEN length(t) < 60 OR len(u) < 8 OR len(u) - 4 < 5 THEN 1.0::DOUBLE ELSE len(list_distinct(g))::DOUBLE / len(g) END, 6) AS ratio FROM g""")
 def doc_unique_ngram(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.round(T.unique_ngram_ratio(F.col("text")), 6).alias("ratio"))
+    return spread(table(spark, sf, "documents")).select("doc_id", F.round(T.unique_ngram_ratio(F.col("text")), 6).alias("ratio"))
 
 
 @query(r"""WITH l AS (SELECT doc_id, trim(regexp_replace(unnest(string_split(coalesce(text, ''), chr(10))), '\s+', ' ', 'g')) AS line FROM documents),
@@ -148,19 +149,19 @@ c AS (SELECT doc_id, line, count(*) AS n FROM l WHERE length(line) >= 20 GROUP B
 r AS (SELECT doc_id, sum(n) AS total, coalesce(sum(n) FILTER (n > 1), 0) AS again FROM c GROUP BY doc_id)
 SELECT d.doc_id, round(CASE WHEN coalesce(total, 0) < 4 THEN 0.0::DOUBLE ELSE (again::DOUBLE) / (total::DOUBLE) END, 6) AS ratio FROM documents d LEFT JOIN r USING (doc_id)""")
 def doc_repeated_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.round(T.repeated_line_ratio(F.col("text")), 6).alias("ratio"))
+    return spread(table(spark, sf, "documents")).select("doc_id", F.round(T.repeated_line_ratio(F.col("text")), 6).alias("ratio"))
 
 
 @query()
 def doc_clean_markdown(spark: SparkSession, sf: str) -> DataFrame:
-    return Q.convert_text(table(spark, sf, "documents")).select("doc_id", "title", F.md5("body").alias("body_md5"), F.length("body").alias("n"))
+    return Q.convert_text(spread(table(spark, sf, "documents"))).select("doc_id", "title", F.md5("body").alias("body_md5"), F.length("body").alias("n"))
 
 
 @query(r"""SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '(?m)^#{1,6} '))::BIGINT AS marks, len(regexp_extract_all(coalesce(text, ''), '(?m)^[-*]\s+'))::BIGINT AS items,
   len(regexp_extract_all(coalesce(text, ''), '(?m)^\|.+\|\n\|(?:\s*:?-{1,}:?\s*\|)+'))::BIGINT AS tables, len(regexp_extract_all(coalesce(text, ''), '\[([^\]]+)\]\([^)]+\)'))::BIGINT AS links FROM documents""")
 def doc_markdown_counts(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col("text")
-    return table(spark, sf, "documents").select("doc_id", T.heading_marks(c).alias("marks"), T.list_items(c).alias("items"), T.tables(c, 1).alias("tables"), T.links(c).alias("links"))
+    return spread(table(spark, sf, "documents")).select("doc_id", T.heading_marks(c).alias("marks"), T.list_items(c).alias("items"), T.tables(c, 1).alias("tables"), T.links(c).alias("links"))
 
 
 # ---- tables --------------------------------------------------------------------------------------------------------
@@ -292,7 +293,7 @@ SELECT doc_id, source_type, CASE WHEN source_type = 'webpage' THEN 'web' WHEN so
   source_type IS NOT NULL AND doc_id % 3 <> 1 AS allowed, sha256('s:' || doc_id) AS hashed FROM d""")
 def jobs_queue_routing(spark: SparkSession, sf: str) -> DataFrame:
     ends = F.array(*[F.lit(x) for x in ("txt", "md", "html", "htm", "csv", "pdf", "docx", "mp3", "wav", "mp4", "exe", "MKV")])
-    named = table(spark, sf, "documents").withColumn("name", F.concat("source", F.lit("."), F.element_at(ends, (F.col("doc_id") % 12 + 1).cast("int"))))
+    named = spread(table(spark, sf, "documents")).withColumn("name", F.concat("source", F.lit("."), F.element_at(ends, (F.col("doc_id") % 12 + 1).cast("int"))))
     none = F.lit(None).cast("string")
     kind = J.detect_source_type(F.col("name"), none, none, none, none)
     mime = F.when(F.col("doc_id") % 3 == 0, "text/plain").when(F.col("doc_id") % 3 == 1, "application/x-sh").otherwise(none)
@@ -311,7 +312,7 @@ results AS (SELECT *, CASE WHEN score >= 85 THEN 'strong' WHEN score >= 55 THEN
 def results_of(spark: SparkSession, sf: str) -> DataFrame:
     """Documents in the role of conversion results."""
     extractor = F.when(F.col("source") == "src3", "body-fallback").otherwise(F.col("source"))
-    scored = table(spark, sf, "documents").select("doc_id", "source", "lang", R.compat_score(F.col("text"), extractor).alias("score"))
+    scored = spread(table(spark, sf, "documents")).select("doc_id", "source", "lang", R.compat_score(F.col("text"), extractor).alias("score"))
     rated = scored.withColumn("status", R.status_from_score(F.col("score")))
     return rated.select("*", (F.col("status") != "failed").alias("ok"), F.col("source").alias("category"), (F.col("doc_id") % 7 == 0).alias("rendered"), F.lit(1).alias("attempt"))
 
@@ -370,7 +371,7 @@ SELECT k.doc, key, count(DISTINCT page) AS pages FROM k JOIN n ON k.doc = n.doc
 def pdf_recurring_lines(spark: SparkSession, sf: str) -> DataFrame:
     from marlstone.operators import layout as L
 
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"))
     lines = d.select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), F.explode(F.split(T.text0(F.col("text")), "\n")).alias("text"))
     return L.recurring_keys(lines, share=0.05)
 

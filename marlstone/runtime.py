@@ -31,6 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores where it lies in fewer files than there are: a file of one row group is one task, which matters
+    to what is bound by computing. Tables of more files are left as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """A folder of this application's own below spark.checkpoint.dir, which all executors share.
 
@@ -105,4 +112,11 @@ def store_bucketed(df: DataFrame, name: str, by: str, buckets: int) -> DataFrame
     table_name = f"marlstone_{name}_{uuid.uuid4().hex}".replace("-", "_")
     path = f"{scratch_root(spark)}/{table_name}"
     df.write.bucketBy(buckets, by).option("path", path).option("compression", "zstd").saveAsTable(table_name)
+    # before the session's end, so that the catalogue keeps no name of a table that is gone
+    atexit.register(_drop_table, spark, table_name)
     return spark.table(table_name)
+
+
+def _drop_table(spark: SparkSession, name: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")

@@ -5,6 +5,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from marlstone.functions import markdown as M
 from marlstone.functions import text as T
 from marlstone.operators import extraction, jobs, layout, quality, reports, transcript, urls
 from marlstone.sources import files, html
@@ -16,7 +17,7 @@ def one(spark, column, **values):
 
 def test_clean_markdown(spark):
     body = "Title\n\n#\n Head\nSkip to main content\ntext  \n\n\n\nmore\n##   \n## Next\nline"
-    got = one(spark, T.clean_markdown(F.col("b"), F.lit("title!")), b=body)
+    got = one(spark, M.clean_markdown(F.col("b"), F.lit("title!")), b=body)
     assert not got.startswith("Title") and "Skip to" not in got and "\n\n\n" not in got and "\n\n## Next" in got
 
 
@@ -63,9 +64,16 @@ def test_retention_order(spark):
 
 
 def test_url_guard(spark):
-    verdict = lambda u: one(spark, urls.url_verdict(F.col("u")), u=u)
-    assert [verdict(u) for u in ("http://example.com/x", "file:///etc", "http://localhost/", "http://10.1.2.3/", "http://198.18.0.1/", "http://[::1]/")] == ["ok", "scheme", "host", "address", "address", "address"]
-    assert one(spark, urls.is_blocked_address(F.lit("198.18.0.1"), F.lit(False)), z="") is False
+    rows = [
+        ("http://example.com/x", None, "unresolved"), ("http://example.com/x", ["93.184.216.34"], "ok"), ("http://example.com/x", ["93.184.216.34", "10.0.0.1"], "address"), ("http://a.example/", ["198.18.0.233"], "ok"),
+        ("http://a.example/", ["::ffff:10.0.0.1"], "address"), ("http://a.example/", ["2606:4700::1111"], "ok"), ("file:///etc", None, "scheme"), (None, None, "scheme"), ("http://localhost:8000/", ["127.0.0.1"], "host"),
+        ("http://localhost.localdomain/", None, "host"), ("http://x.localhost/", None, "host"), ("http:///x", None, "host"), ("http://8.8.8.8/", None, "ok"), ("http://[2001:4860:4860::8888]/", None, "ok"), ("http://192.0.2.1/", None, "ok"),
+        *((f"http://{h}/", None, "address") for h in ("10.1.2.3", "198.18.0.1", "[::1]", "[0:0:0:0:0:0:0:1]", "[::]", "2130706433", "127.1", "0x7f.0.0.1", "0177.0.0.1", "[::ffff:127.0.0.1]", "[::ffff:7f00:1]", "[fd00::1]", "[fe80::1]", "[ff02::1]", "u@10.0.0.1:80")),
+    ]
+    got = spark.createDataFrame(rows, "u string, a array<string>, want string").select("u", "want", urls.url_verdict(F.col("u"), F.col("a")).alias("got")).collect()
+    assert [(r.u, r.got) for r in got] == [(r.u, r.want) for r in got]
+    words = spark.createDataFrame([("1:2:3:4:5:6:7:8",), ("1::8",), ("::",), ("1:2:3",), ("::1::2",), ("12345::",), ("1.2.3.4",), ("::1.2.3.4",), ("1:2:3:4:5:6:7::",)], "a string").select(urls.ipv6_words(F.col("a")).alias("w")).collect()
+    assert [r.w for r in words] == [[1, 2, 3, 4, 5, 6, 7, 8], [1, 0, 0, 0, 0, 0, 0, 8], [0] * 8, None, None, None, None, [0, 0, 0, 0, 0, 0, 258, 772], [1, 2, 3, 4, 5, 6, 7, 0]]
 
 
 def test_csv_dialects():
@@ -158,5 +166,5 @@ def test_page_snapshot_sections():
         assert part in md
     assert "unseen" not in md and "javascript" not in md and "hidden" not in md
     assert "- just some words" in html.snapshot(html.parse("<body><div>just some words</div></body>"), "https://e.x/")
-    assert html.candidates(page, "https://e.x/")[1][-1]["markdown"] == f"# Home\n\n{md}"
+    assert html.candidates(page, "https://e.x/")[1][-1]["markdown"] == M.clean(md)
     assert html.snapshot(html.parse("<body></body>"), "").startswith("## 页面快照")
