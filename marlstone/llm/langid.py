@@ -17,13 +17,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm._words import numbers
-from marlstone.runtime import table
+from marlstone.runtime import spread, table, text_batches
 
 UNKNOWN = "und"
 #: Labelled rows a language that the fit reads, by expectation; they are chosen by a hash of the id.
 SAMPLE_ROWS = 500
-#: A run of letters is scored in stretches of at most this many characters, which together are the whole run.
-STRETCH = 48
+#: Runs of more letters are summed one by one in logarithms, shorter ones of a length together as plain products.
+LONG = 32
+#: A text fits no language if its letters are less likely than those the model learned from by a factor of e^MARGIN each.
+MARGIN = 4.0
 ROUNDS = 3
 FLOOR = 1e-7
 CACHE_WORDS = 400_000
@@ -53,16 +55,14 @@ class Model:
     chances: np.ndarray  # of a piece in each language, plus a last row for characters outside the vocabulary
     priors: np.ndarray
     longest: int
+    floor: float = float("-inf")  # the least log probability a letter, with its share of word starts, of texts that fit
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters in lower case, cut into stretches."""
+    """Runs of letters in lower case, whole."""
     import regex
 
-    found = regex.findall(r"\p{L}+", (text or "").lower())
-    if all(len(w) <= STRETCH for w in found):
-        return found
-    return [w[i : i + STRETCH] for w in found for i in range(0, len(w), STRETCH)]
+    return regex.findall(r"\p{L}+", (text or "").lower())
 
 
 def _codes(words: list[str], width: int) -> np.ndarray:
@@ -102,21 +102,71 @@ def _lattice(codes: np.ndarray, hashes: np.ndarray, longest: int) -> Iterator[tu
                 yield start, end, rows, at[rows]
 
 
+def _pieces_to(word: str, hashes: np.ndarray, longest: int, chunk: int = 1 << 16) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(end, lengths, pieces) for every place of one word behind the mark of its start, by the rules of _lattice."""
+    values = _codes([word], len(word))[0].astype(np.uint64) + np.uint64(1)
+    n = len(values)
+    for low in range(0, n, chunk):
+        ends = np.arange(max(low, 1) + 1, min(low + chunk, n) + 1) if low else np.arange(2, min(chunk, n) + 1)
+        found = np.full((len(ends), longest), -1, np.int64)
+        for length in range(1, min(longest, n) + 1):
+            start = ends - length
+            real = start >= 0
+            h = np.zeros(int(real.sum()), np.uint64)
+            for k in range(length):
+                h = h * _RADIX + values[start[real] + k]
+            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            known = hashes[at] == h
+            single = (length == 1) | (start[real] == 0) & (length == 2)
+            found[real, length - 1] = np.where(start[real] == 1, -1, np.where(known, at, np.where(single, len(hashes), -1)))
+        for end, row in zip(ends.tolist(), found):
+            on = np.flatnonzero(row >= 0)
+            yield end, on + 1, row[on]
+
+
+def _log_forward(word: str, logs: np.ndarray, hashes: np.ndarray, longest: int) -> np.ndarray:
+    """Log probability of each beginning of one word, in each language, summed over its segmentations."""
+    ahead = np.full((len(word) + 2, logs.shape[1]), -np.inf)
+    ahead[0] = 0.0
+    for end, lengths, pieces in _pieces_to(word, hashes, longest):
+        v = ahead[end - lengths] + logs[pieces]
+        top = v.max(axis=0)
+        ahead[end] = top + np.log(np.exp(v - top).sum(axis=0))
+    return ahead
+
+
 def log_chances(words: list[str], model: Model) -> np.ndarray:
-    """Log probability of each word in each language, summed over all segmentations."""
+    """Log probability of each word in each language, summed over all segmentations, however long the word is."""
     out = np.zeros((len(words), len(model.languages)))
     lengths = np.array([len(w) for w in words])
-    for width in np.unique(lengths):
+    for k in np.flatnonzero(lengths > LONG):
+        out[k] = _log_forward(words[k], np.log(model.chances), model.hashes, model.longest)[-1]
+    for width in np.unique(lengths[lengths <= LONG]):
         for rows in np.array_split(np.flatnonzero(lengths == width), max(1, (lengths == width).sum() * int(width) // 400_000)):
             codes = _codes([words[i] for i in rows], int(width))
             ahead = np.zeros((int(width) + 2, len(rows), len(model.languages)))
             ahead[0] = 1.0
             for start, end, at, piece in _lattice(codes, model.hashes, model.longest):
                 ahead[end][at] += ahead[start][at] * model.chances[piece]
-            out[rows] = np.log(np.maximum(ahead[int(width) + 1], 1e-300))
+            # no product of LONG floors is too small for a double
+            out[rows] = np.log(ahead[int(width) + 1])
     return out
 
 
+def _long_counts(word: str, weight: float, p: np.ndarray, hashes: np.ndarray, longest: int) -> np.ndarray:
+    """Expected uses of every piece in one long word."""
+    logs = np.log(p)
+    ahead = _log_forward(word, logs[:, None], hashes, longest)[:, 0]
+    back = np.full(len(ahead), -np.inf)
+    back[-1] = 0.0
+    seen = np.zeros(len(p))
+    for end, lengths, pieces in reversed(list(_pieces_to(word, hashes, longest))):
+        v = logs[pieces] + back[end]
+        back[end - lengths] = np.logaddexp(back[end - lengths], v)
+        np.add.at(seen, pieces, weight * np.exp(ahead[end - lengths] + v - ahead[-1]))
+    return seen
+
+
 def fit(counts: pd.DataFrame, pieces: list[str], priors: dict[str, float], rounds: int = ROUNDS) -> Model:
     """`counts` (lang, word, n) to a model. Languages without words get the priors alone."""
     hashes = piece_hashes(pieces)
@@ -132,7 +182,9 @@ def fit(counts: pd.DataFrame, pieces: list[str], priors: dict[str, float], round
         p = np.full(len(hashes) + 1, 1.0 / (len(hashes) + 1))
         for _ in range(rounds if len(words) else 0):
             seen = np.full(len(hashes) + 1, 0.01)
-            for width in np.unique(lengths):
+            for k in np.flatnonzero(lengths > LONG):
+                seen += _long_counts(words[k], weight[k], p, hashes, longest)
+            for width in np.unique(lengths[lengths <= LONG]):
                 rows = np.flatnonzero(lengths == width)
                 codes, n = _codes([words[i] for i in rows], int(width)), int(width) + 1
                 arcs = list(_lattice(codes, hashes, longest))
@@ -142,13 +194,20 @@ def fit(counts: pd.DataFrame, pieces: list[str], priors: dict[str, float], round
                     ahead[e][at] += ahead[s][at] * p[piece]
                 for s, e, at, piece in sorted(arcs, key=lambda a: -a[0]):
                     back[s][at] += back[e][at] * p[piece]
-                per = weight[rows] / np.maximum(ahead[n], 1e-300)
+                per = weight[rows] / ahead[n]
                 for s, e, at, piece in arcs:
                     seen += np.bincount(piece, ahead[s][at] * p[piece] * back[e][at] * per[at], minlength=len(seen))
-            p = seen / seen.sum()
+            p = np.maximum(seen / seen.sum(), FLOOR)
         chances[:, j] = np.maximum(p, FLOOR)
     prior = np.array([priors[x] for x in languages], float)
-    return Model(languages, hashes, chances, np.log(prior / prior.sum()) if len(prior) else prior, longest)
+    model = Model(languages, hashes, chances, np.log(prior / prior.sum()) if len(prior) else prior, longest)
+    fits = []
+    for j, lang in enumerate(languages):
+        own = counts[counts.lang == lang]
+        if len(own):
+            fits.append(float((log_chances(own.word.tolist(), model)[:, j] * own.n).sum() / (own.word.str.len() * own.n).sum()))
+    model.floor = min(fits, default=float("-inf")) - MARGIN
+    return model
 
 
 def remainder(doc_id: Column, by: int) -> Column:
@@ -181,52 +240,66 @@ def train(labelled: DataFrame, vocabulary: str | None = None, sample_rows: int =
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` with lang_pred and score appended, one row each.
+    """`docs` with lang_pred, score and fit appended, one row each.
 
     lang_pred is a language of the model, or `und` with score 0 where text is null, has no letter, or the model has
-    no language. score is the probability of the prediction given the text; ties go to the first by code point.
-    Only text is looked at. Columns named lang_pred or score are replaced.
+    no language. score is the probability of the prediction given the text; ties go to the first by code point. fit is the
+    mean log probability of a letter in that language (null with `und`): below model.floor the text is in none of them.
+    Only text is looked at, all of it. Repeated rows keep one row each; null ids stay; an empty table gives no rows.
+    Columns named lang_pred, score or fit are replaced.
     """
-    columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    columns = [c for c in docs.columns if c not in ("lang_pred", "score", "fit")]
     kept = docs.select(*columns)
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, number, known = shared.value, {}, np.zeros((0, len(shared.value.languages)))
         for batch in batches:
-            seqs, fresh = [], []
+            seqs, fresh, lone, letters = [], [], [], []
             if len(number) > CACHE_WORDS:
                 number, known = {}, known[:0]
             for text in batch.column(place):
-                seq = []
+                seq, long, size = [], np.zeros(len(model.languages)), 0
                 for w in words_of(text.as_py()):
+                    size += len(w)
+                    if len(w) > LONG:  # not remembered: it may be of any size
+                        long += log_chances([w], model)[0]
+                        continue
                     k = number.get(w)
                     if k is None:
                         k = number[w] = len(number)
                         fresh.append(w)
                     seq.append(k)
                 seqs.append(np.array(seq, dtype=np.int32))
+                lone.append(long)
+                letters.append(size)
             if fresh:
                 known = np.concatenate([known, log_chances(fresh, model)])
-            labels, scores = [], []
-            for seq in seqs:
-                if not len(seq) or not model.languages:
+            labels, scores, fits = [], [], []
+            for seq, long, size in zip(seqs, lone, letters):
+                if not size or not model.languages:
                     labels.append(UNKNOWN)
                     scores.append(0.0)
+                    fits.append(None)
                     continue
-                logs = known[seq].sum(axis=0) + model.priors
+                words = known[seq].sum(axis=0) + long
+                logs = words + model.priors
                 best = int(np.argmax(logs))
                 labels.append(model.languages[best])
                 scores.append(float(1.0 / np.exp(logs - logs[best]).sum()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=[*columns, "lang_pred", "score"])
+                fits.append(float(words[best] / size))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64()), pa.array(fits, pa.float64())], names=[*columns, "lang_pred", "score", "fit"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "lang_pred string, score double"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "lang_pred string, score double, fit double"])
     return kept.mapInArrow(run, schema)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All of `documents`, told by a model of those that are not held out; null and letterless texts are `und`, a null id
+    counts as the empty text in the split, an empty table gives no rows."""
+    docs = spread(table(spark, sf_dir, "documents"))
     held_out = remainder(F.col("doc_id"), 4) == 2
     model = train(docs.where(~held_out))
-    return predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "fit")
