@@ -1,10 +1,12 @@
-"""Byte-level BPE over a corpus: every distinct pre-token of a block of documents crosses the cluster once.
+"""Byte-level BPE over a corpus: every distinct pre-token is encoded once.
 
 1. Each task cuts its documents into pre-tokens and numbers the distinct ones of a block (some 32 million
    characters), frequent ones first. A document is kept as its sequence of numbers, which is its pre-tokens with
    positions.
-2. A block's words go out in buckets by a hash of the word, sorted and compressed, so the task of a bucket sees all
-   uses of a word and encodes it once. A word comes once a block at most, so no word is a hot key.
+2. The words are dealt over the cluster by their hash. A block sends each of its words once, so a frequent word is no
+   hot key, and what a block sends to one bucket travels as one compressed row. A bucket has all the uses of its words:
+   it makes them distinct, encodes each once by the merges below and answers every block. The number of buckets grows
+   with the corpus, so that a bucket's distinct words fit in memory.
 3. Ids go back by block, in the order of the words, and meet the sequences there. A block is bounded, however large
    the corpus is.
 
@@ -14,6 +16,7 @@ Decoding joins the fixed token-byte table, one entry a token, with the ids by po
 from __future__ import annotations
 
 import base64
+import heapq
 import struct
 from collections.abc import Iterator
 
@@ -22,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.runtime import store_bucketed, table, text_batches
+from marlstone.runtime import store_bucketed, spread, table, text_batches
 
 BLOCK_CHARS = 32_000_000
-#: Documents for which one more bucket of words is made, and the most buckets.
-BUCKET_ROWS, BUCKETS = 5_000, 16_384
-#: Pre-tokens packed together, and encoded words that a task remembers at once.
-PACK_TOKENS, CACHE_WORDS = 1 << 17, 2_000_000
+#: Characters for which one more bucket of words is made: a bucket has far fewer distinct words.
+BUCKET_CHARS = 16_000_000
+#: Pre-tokens packed together.
+PACK_TOKENS = 1 << 17
+#: Words of more bytes are merged with a heap.
+SHORT = 48
 
 
 def default_vocabulary() -> str:
@@ -49,15 +54,68 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def _pack(numbers: np.ndarray, planes: int = 3) -> bytes:
-    """The numbers' byte planes, the low bytes first, compressed; the planes' length stands in front."""
+def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of one pre-token: of all neighbouring parts, single bytes at first, the pair with the lowest rank becomes
+    one part, the first of equals, until no pair is in the vocabulary."""
+    whole = ranks.get(word)
+    if whole is not None:
+        return [whole]
+    if len(word) > SHORT:
+        return _merge_long(word, ranks)
+    none = 1 << 62
+    parts = [word[i : i + 1] for i in range(len(word))]
+    pairs = [ranks.get(word[i : i + 2], none) for i in range(len(word) - 1)]
+    while pairs:
+        low = min(pairs)
+        if low == none:
+            break
+        i = pairs.index(low)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del pairs[i]
+        if i:
+            pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
+        if i < len(pairs):
+            pairs[i] = ranks.get(parts[i] + parts[i + 1], none)
+    return [ranks[p] for p in parts]
+
+
+def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """As `merge`, in time n log n: parts are the stretches from a start to the start of the next one."""
+    n = len(word)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    queue = [(rank, i, i + 2) for i in range(n - 1) if (rank := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(queue)
+    while queue:
+        _, i, end = heapq.heappop(queue)
+        middle = after[i]
+        # taken into another part since, or grown
+        if middle < 0 or middle >= n or after[middle] != end:
+            continue
+        after[i], after[middle] = end, -1
+        if end < n:
+            before[end] = i
+            if (rank := ranks.get(word[i : after[end]])) is not None:
+                heapq.heappush(queue, (rank, i, after[end]))
+        if before[i] >= 0 and (rank := ranks.get(word[before[i] : end])) is not None:
+            heapq.heappush(queue, (rank, before[i], end))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[word[i : after[i]]])
+        i = after[i]
+    return out
+
+
+def _pack(numbers: np.ndarray) -> bytes:
+    """The numbers' byte planes, the low bytes first and as many as the largest needs, compressed; how long they are and
+    their number stand in front."""
+    planes = max(1, (int(numbers.max(initial=0)).bit_length() + 7) // 8)
     raw = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T[:planes].tobytes()
-    return struct.pack("<IB", len(raw), planes) + pa.compress(raw, codec="zstd", asbytes=True)
+    return struct.pack("<QB", len(raw), planes) + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _unpack(packed: bytes) -> np.ndarray:
-    size, planes = struct.unpack_from("<IB", packed)
-    raw = np.frombuffer(pa.decompress(packed[5:], size, codec="zstd", asbytes=True), dtype=np.uint8).reshape(planes, -1)
+    size, planes = struct.unpack_from("<QB", packed)
+    raw = np.frombuffer(pa.decompress(packed[9:], size, codec="zstd", asbytes=True), dtype=np.uint8).reshape(planes, -1)
     out = np.zeros(raw.shape[1], np.uint32)
     for k in range(planes):
         out |= raw[k].astype(np.uint32) << (8 * k)
@@ -138,27 +196,25 @@ def _blocks(pattern: str, block_chars: int, buckets: int):
     return cut
 
 
-def _encoder(ranks, pattern: str):
+def _encoder(ranks):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
-        piece = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})._encode_single_piece
+        # rows come by bucket, and a word has one bucket, so what is known of the last one is of no more use
         bucket, known = None, {}
         for batch in batches:
             out = []
             for own, data in zip(batch.column(0).to_pylist(), batch.column(2)):
-                if own != bucket or len(known) > CACHE_WORDS:
+                if own != bucket:
                     bucket, known = own, {}
                 raw = _expand(data.as_py())
                 n = struct.unpack_from("<I", raw)[0]
-                ends = np.cumsum(np.frombuffer(raw, "<u4", n, 4)) + 4 + 4 * n
+                ends = np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.int64) + 4 + 4 * n
                 at, ids = 4 + 4 * n, []
                 for end in ends.tolist():
                     word = raw[at:end]
                     at = end
                     code = known.get(word)
                     if code is None:
-                        code = known[word] = piece(word)
+                        code = known[word] = merge(word, ranks.value)
                     ids.append(code)
                 sizes = np.array([len(x) for x in ids], dtype="<u4")
                 flat = np.fromiter((i for x in ids for i in x), dtype="<u4", count=int(sizes.sum()))
@@ -201,7 +257,7 @@ def _assemble(words: pa.Table, docs: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.concatenate(out)))})
 
 
-def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, block_chars: int = BLOCK_CHARS, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
     """doc_id and ids (array of int) for every row of `docs` (doc_id, text).
 
     Null text counts as empty and has no ids. Repeated rows and ids keep one row each; a null doc_id stays
@@ -212,12 +268,15 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None =
     pattern = pattern or default_pattern()
     ranks = spark.sparkContext.broadcast(read_ranks(vocabulary or default_vocabulary()))
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(BUCKETS, -(-docs.count() // BUCKET_ROWS)))
     text_batches(spark)
-    # A block's rows are one task's, so they lie in one bucket, and the sequences need no shuffle later.
-    cut = store_bucketed(docs.mapInArrow(_blocks(pattern, block_chars, buckets), BLOCK_SCHEMA), "bpe_blocks", "block", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = max(partitions, -(-chars // bucket_chars))
+    # A block's rows are one task's, so they lie in one bucket of the table, and the sequences need no shuffle later. With
+    # the blocks the buckets grow, so that each holds a few blocks only.
+    cut = store_bucketed(docs.mapInArrow(_blocks(pattern, block_chars, buckets), BLOCK_SCHEMA), "bpe_blocks", "block", max(partitions, -(-chars // (4 * block_chars))))
     words = cut.where("kind = 'words'").select("bucket", "block", "data")
-    coded = words.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_encoder(ranks, pattern), "block long, bucket int, ids binary")
+    coded = words.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_encoder(ranks), "block long, bucket int, ids binary")
     seqs = cut.where("kind <> 'words'").select("block", "kind", "place", "ids", "sizes", "data")
     return coded.groupBy("block").cogroup(seqs.groupBy("block")).applyInArrow(_assemble, "doc_id long, ids array<int>")
 
@@ -241,7 +300,8 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = decode(encode(table(spark, sf_dir, "documents")))
+    """All of `documents`; null text is empty, a row each for repeated ids, no rows from an empty table."""
+    both = decode(encode(spread(table(spark, sf_dir, "documents"))))
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
