@@ -18,8 +18,11 @@ COSINE = 0.93
 #: Numbers (rows times dimensions) of the bounded sample on which axes and trees are fitted.
 SAMPLE_NUMBERS = 2_000_000
 GRID_AXES = 8
-#: Numbers (rows times dimensions) of an interval of the grid order.
+#: Numbers (rows times dimensions) of an interval of the grid order, and interval pairs that one task compares.
 INTERVAL_NUMBERS = 524_288
+TASK_PAIRS = 4
+#: Leading axes by whose cells intervals meet.
+MEET_AXES = 2
 LEAF = 256
 
 
@@ -72,11 +75,11 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def ego_join(x: np.ndarray, y: np.ndarray, box_x: np.ndarray, box_y: np.ndarray, cosine: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def ego_join(x: np.ndarray, y: np.ndarray, box_x: np.ndarray, box_y: np.ndarray, cosine: float, same: bool, leaf: int = LEAF) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i, j) with a cosine of at least `cosine` between rows of two intervals of the grid order.
 
     x and y are unit vectors, box_x and box_y the same on the principal axes. Two intervals are skipped where their
-    boxes are farther apart than such vectors can be; else each is halved, down to LEAF rows that are compared outright.
+    boxes are farther apart than such vectors can be; else each is halved, down to `leaf` rows that are compared outright.
     With `same`, only i < j.
     """
     eps2 = 2 - 2 * cosine + 1e-9
@@ -98,8 +101,8 @@ def ego_join(x: np.ndarray, y: np.ndarray, box_x: np.ndarray, box_y: np.ndarray,
         gap = np.maximum(0, np.maximum(lo1 - hi2, lo2 - hi1))
         if gap @ gap > eps2:
             continue
-        if b - a > LEAF or d - c > LEAF:
-            m, n = ((a + b) // 2 if b - a > LEAF else b), ((c + d) // 2 if d - c > LEAF else d)
+        if b - a > leaf or d - c > leaf:
+            m, n = ((a + b) // 2 if b - a > leaf else b), ((c + d) // 2 if d - c > leaf else d)
             todo += [(p, q, r, s) for p, q in ((a, m), (m, b)) for r, s in ((c, n), (n, d)) if p < q and r < s]
             continue
         dots = x[a:b] @ y[c:d].T
@@ -111,7 +114,13 @@ def ego_join(x: np.ndarray, y: np.ndarray, box_x: np.ndarray, box_y: np.ndarray,
             yield i, j
 
 
-def similar(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
+def _cells(low: str, high: str, reach: float, eps: float) -> Column:
+    """The cells of the MEET_AXES leading axes that a box, widened by `reach`, lies in."""
+    along = [F.sequence(F.floor((F.col(low)[a] - reach) / eps), F.floor((F.col(high)[a] + reach) / eps)) for a in range(MEET_AXES)]
+    return F.flatten(F.transform(along[0], lambda i: F.transform(along[1], lambda j: F.struct(i.alias("i"), j.alias("j")))))
+
+
+def similar(vectors: DataFrame, cosine: float = COSINE, interval_numbers: int = INTERVAL_NUMBERS, leaf: int = LEAF) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of `vectors` (vec_id, embedding, label).
 
     Rows of one label, which is not null, and one dimension are linked where the cosine in double precision is at least
@@ -122,7 +131,7 @@ def similar(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
     fit = rows.where(usable(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
-    classes = store(fit.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("cid", F.xxhash64("label", "rep", "embedding")), "ego-classes")
+    classes = store(fit.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("cid", F.monotonically_increasing_id()), "ego-classes")  # numbered once and written
     rotations = spark.sparkContext.broadcast({d: axes(p, d) for d, p in sample(classes.df.withColumnRenamed("rep", "vec_id")).items()})
     eps = float(np.sqrt(2 - 2 * cosine))
 
@@ -132,12 +141,12 @@ def similar(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
             for v in batch.column(1):
                 x = np.array(v.as_py())
                 y = (x / np.linalg.norm(x)) @ rotations.value[len(x)][:, :GRID_AXES]
-                grid.append(np.floor(y / eps).astype(int).tolist())
+                grid.append(np.floor(y / eps).astype(int).tolist() + [0] * (GRID_AXES - len(y)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(grid, pa.list_(pa.int32()))], names=["cid", "embedding", "label", "copies", "cells"])
 
     placed = classes.df.select("cid", "embedding", F.col("label").cast("string").alias("label"), "copies").mapInArrow(cells, "cid long, embedding array<double>, label string, copies long, cells array<int>")
     widest = classes.df.agg(F.max(F.size("embedding")).alias("d"), F.count("*").alias("n")).first()
-    interval = max(LEAF, INTERVAL_NUMBERS // max(1, widest.d or 1))
+    interval = max(leaf, interval_numbers // max(1, widest.d or 1))
     parts = max(1, -(-widest.n // interval))
     ordered = placed.withColumn("d", F.size("embedding")).repartitionByRange(parts, "label", "d", "cells", "cid").sortWithinPartitions("label", "d", "cells", "cid")
 
@@ -152,6 +161,7 @@ def similar(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
                 own = keep[at : at + interval]
                 x = np.array([v for _, v, _, _ in own])
                 y = x / np.linalg.norm(x, axis=1, keepdims=True) @ rotations.value[x.shape[1]][:, :GRID_AXES]
+                y = np.pad(y, ((0, 0), (0, GRID_AXES - y.shape[1])))
                 yield own[0][2], x.shape[1], y.min(axis=0).tolist(), y.max(axis=0).tolist(), [c for c, *_ in own], [n for *_, n in own], x.tobytes()
 
         def out(found, first):
@@ -176,9 +186,14 @@ def similar(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     other = box.select(F.col("no").alias("no2"), F.col("label").alias("label2"), F.col("d").alias("d2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
     gaps = F.zip_with(F.zip_with("low", "high2", lambda a, b: a - b), F.zip_with("low2", "high", lambda a, b: a - b), lambda a, b: F.greatest(a, b, F.lit(0.0)))
     near = F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g) <= eps * eps + 1e-9
-    pairs = box.join(other, (F.col("label") == F.col("label2")) & (F.col("d") == F.col("d2")) & (F.col("no") <= F.col("no2"))).where(near).select("no", "no2", "d")
+    # Intervals meet in the cells of the leading axes: those of one, and those within eps of the other.
+    here = box.withColumn("cell", F.explode(_cells("low", "high", 0.0, eps)))
+    there = other.withColumn("cell2", F.explode(_cells("low2", "high2", eps * (1 + 1e-6), eps)))
+    met = here.join(there, (F.col("label") == F.col("label2")) & (F.col("d") == F.col("d2")) & (F.col("cell") == F.col("cell2")) & (F.col("no") <= F.col("no2")))
+    pairs = store(met.where(near).select("no", "no2", "d").distinct(), "ego-pairs")
+    tasks = max(8, -(-pairs.df.count() // TASK_PAIRS))
     side = lambda n, s: runs.df.select(F.col("no").alias(n), F.col("cids").alias(f"cids{s}"), F.col("copies").alias(f"copies{s}"), F.col("points").alias(f"points{s}"))
-    work = pairs.repartition(max(8, min(2000, parts * 4)), "no", "no2").join(side("no", "1"), "no").join(side("no2", "2"), "no2").select("no", "no2", "d", "cids1", "copies1", "points1", "cids2", "copies2", "points2")
+    work = pairs.df.repartition(tasks, "no", "no2").join(side("no", "1"), "no").join(side("no2", "2"), "no2").select("no", "no2", "d", "cids1", "copies1", "points1", "cids2", "copies2", "points2")
 
     def join(batches):
         for batch in batches:
@@ -193,7 +208,7 @@ def similar(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
                 turn = rotations.value[d]
                 shift = 0 if same else len(x)
                 links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
-                for i, j in ego_join(ux, uy, ux @ turn, uy @ turn, cosine, same):
+                for i, j in ego_join(ux, uy, ux @ turn, uy @ turn, cosine, same, leaf):
                     # the exact test, on the vectors as they are
                     real = np.einsum("ij,ij->i", x[i], y[j]) / (np.sqrt(np.einsum("ij,ij->i", x[i], x[i])) * np.sqrt(np.einsum("ij,ij->i", y[j], y[j]))) >= cosine
                     i, j = i[real], j[real] + shift
@@ -205,6 +220,7 @@ def similar(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     with batch_rows(spark, 4):
         found = store(work.mapInArrow(join, "cid long, links long, root long"), "ego-links")
     runs.drop()
+    pairs.drop()
     reps = classes.df.select(F.col("cid"), "rep", "copies")
     totals = found.df.groupBy("cid").agg(F.sum("links").alias("links"))
     roots = components(found.df.select(F.col("cid").alias("a"), F.col("root").alias("b")), "ego-components").df
@@ -225,7 +241,8 @@ def similar(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 NEIGHBOURS = 10
 BRANCHING = 16
 LEAF_ROWS = 256
-MOST_LEAVES = 4096
+#: Numbers of the bounded sample that the tree is grown on, and sampled rows a leaf at least: they bound the tree.
+TREE_NUMBERS, LEAF_SAMPLE = 8_000_000, 8
 RECALL = 0.97
 CALIBRATION = 128
 BUCKET_ROWS = 32_768
@@ -352,24 +369,32 @@ def brute_force(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) ->
     return _best(vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, "query_id long, vec_id long, score double"), k)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, recall: float = RECALL, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+def nearest(
+    vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, recall: float = RECALL, leaf_rows: int = LEAF_ROWS, bucket_rows: int = BUCKET_ROWS, query_chunk: int = QUERY_CHUNK
+) -> DataFrame:
     """query_id, rank (from 1), vec_id and score (Euclidean distance in double precision) of the k nearest rows found.
 
     The tree is grown on a bounded sample and holds every row. A query takes leaves from a priority queue, best first;
     how many is widened until CALIBRATION rows of the table, with neighbours known by brute force, reach `recall`, and
     each query goes on until the leaves taken hold k rows that are not its own, if there are so many.
-    Vectors that are unusable, without vec_id, or of another dimension than most take no part. Rows that repeat the
-    query's id are its own. Fewer rows than k give all; an empty table gives none. Other columns are not read.
+    Vectors that are unusable or without vec_id take no part. Only vectors of one dimension have a distance, so each
+    dimension is a table of its own. Rows that repeat the query's id are its own. Ties go to the smaller vec_id. Fewer
+    rows than k give all; an empty table gives none. Other columns are not read.
     """
     spark = vectors.sparkSession
     rows = vectors.withColumn("is_query", F.coalesce(is_query, F.lit(False))).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"), "is_query")
     rows = rows.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
-    dims = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if dims is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    total, d = dims["count"], dims["d"]
-    rows = rows.where(F.size("embedding") == d)
-    tree = grow(sample(rows)[d], min(MOST_LEAVES, max(1, total // leaf_rows)))
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for dims in rows.groupBy(F.size("embedding").alias("d")).count().orderBy("d").collect():
+        out = out.unionByName(_nearest(rows.where(F.size("embedding") == dims.d), dims.d, dims["count"], k, recall, leaf_rows, bucket_rows, query_chunk))
+    return out
+
+
+def _nearest(rows: DataFrame, d: int, total: int, k: int, recall: float, leaf_rows: int, bucket_rows: int, query_chunk: int) -> DataFrame:
+    """`nearest` for rows (vec_id, embedding, is_query) of one dimension."""
+    spark = rows.sparkSession
+    points = sample(rows, TREE_NUMBERS)[d]
+    tree = grow(points, max(1, min(total // leaf_rows, len(points) // LEAF_SAMPLE)))
     shared = spark.sparkContext.broadcast(tree)
 
     def place(batches):
@@ -389,14 +414,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, recall: f
     sizes = {r.leaf: r["count"] for r in index.groupBy("leaf").count().collect()}
     bucket_of, bucket, held = np.zeros(tree.leaves, np.int32), 0, 0
     for leaf in range(tree.leaves):
-        if held and held + sizes.get(leaf, 0) > BUCKET_ROWS:
+        if held and held + sizes.get(leaf, 0) > bucket_rows:
             bucket, held = bucket + 1, 0
         bucket_of[leaf] = bucket
         held += sizes.get(leaf, 0)
     homes = spark.sparkContext.broadcast((bucket_of, [sizes.get(leaf, 0) for leaf in range(tree.leaves)]))
-    asked = index.where("is_query").count()
-    chunks = max(1, -(-asked // QUERY_CHUNK))
-    pieces = max(1, -(-max(sizes.values()) // BUCKET_ROWS))
 
     def ask(batches):
         for batch in batches:
@@ -413,16 +435,22 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, recall: f
                 out += [(b, q, v, leaves) for b, leaves in by.items()]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int32())))], names=["bucket", "query_id", "q", "leaves"])
 
-    chunk = F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     # rows that bear an id, where there are several
     copies = index.groupBy("vec_id").agg(F.count("*").alias("own"), F.max("is_query").alias("any_query")).where("own > 1 and any_query").select(F.col("vec_id").alias("own_id"), "own")
     asking = index.where("is_query").join(copies, F.col("vec_id") == F.col("own_id"), "left").select("vec_id", "embedding", F.coalesce("own", F.lit(1)).alias("own"))
-    queries = asking.mapInArrow(ask, "bucket int, query_id long, q array<double>, leaves array<int>").withColumn("chunk", chunk).withColumn("piece", every(pieces))
-    mapping = F.array(*[F.lit(int(b)) for b in bucket_of]) if tree.leaves <= 64 else None
-    numbered = spark.createDataFrame([(i, int(b)) for i, b in enumerate(bucket_of)], "leaf int, bucket int") if mapping is None else None
-    homed = index.withColumn("bucket", F.element_at(mapping, F.col("leaf") + 1)) if mapping is not None else index.join(F.broadcast(numbered), "leaf")
-    held_rows = homed.select("bucket", "vec_id", "embedding", "leaf", F.pmod(F.xxhash64("vec_id"), F.lit(pieces)).cast("int").alias("piece")).withColumn("chunk", every(chunks))
+    queries = store(asking.mapInArrow(ask, "bucket int, query_id long, q array<double>, leaves array<int>"), "tree-queries").df
+    # A bucket with too many rows is cut into pieces, one with too many visits into chunks, and only there is anything
+    # dealt twice. There are no more buckets than leaves, so this table is bounded by the tree.
+    visits_of = {r.bucket: r["count"] for r in queries.groupBy("bucket").count().collect()}
+    rows_of = np.bincount(bucket_of, [sizes.get(leaf, 0) for leaf in range(tree.leaves)], tree.leaves)
+    plan = {b: (b, max(1, -(-n // query_chunk)), max(1, -(-int(rows_of[b]) // bucket_rows))) for b, n in visits_of.items()}
+    of_leaf = F.broadcast(spark.createDataFrame([(leaf, *plan[b]) for leaf, b in enumerate(bucket_of.tolist()) if b in plan], "p_leaf int, bucket int, chunks int, pieces int"))
+    of_bucket = F.broadcast(spark.createDataFrame(list(plan.values()), "p_bucket int, chunks int, pieces int"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    queries = queries.join(of_bucket, F.col("bucket") == F.col("p_bucket"))
+    queries = queries.select("bucket", "query_id", "q", "leaves", dealt("query_id", "chunks").alias("chunk"), every("pieces").alias("piece"))
+    held_rows = index.join(of_leaf, F.col("leaf") == F.col("p_leaf")).select("bucket", "vec_id", "embedding", "leaf", dealt("vec_id", "pieces").alias("piece"), every("chunks").alias("chunk"))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -441,8 +469,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, recall: f
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of `embeddings`; unusable vectors and null labels link with nothing, an empty table gives no rows."""
     return similar(table(spark, sf_dir, "embeddings"))
 
 
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries are the rows of `embeddings` whose vec_id is divisible by 100, candidates all rows; unusable vectors take no part, an empty table gives no rows."""
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
