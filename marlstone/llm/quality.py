@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from marlstone.llm._words import _ODD, _BYTE, _powers, groups, mix64, numbers
 from marlstone.llm.langid import remainder
-from marlstone.runtime import store, table, text_batches
+from marlstone.runtime import store, spread, table, text_batches
 
+#: Word vectors, by default; a power of two. Words are hashed to them, so the model's size does not grow with the corpus.
 BUCKETS = 1 << 15
 DIMENSIONS = 32
 WINDOW = 2
@@ -36,7 +37,7 @@ _CLASS[48:58] = 2
 _CLASS[65:91] = _CLASS[97:123] = _CLASS[128:] = 1
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def tokens(data: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the tokens of some documents, and where each document's begin. A token is a run of letters (all that is
     not ASCII counts), of digits, or of other signs; case is kept."""
     kind = _CLASS[data]
@@ -51,62 +52,82 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
     h = mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _ODD)
-    return (h & np.uint64(BUCKETS - 1)).astype(np.int64), np.searchsorted(starts, offsets)
+    return (h & np.uint64(buckets - 1)).astype(np.int64), np.searchsorted(starts, offsets)
 
 
-def signs(dimensions: int = DIMENSIONS) -> np.ndarray:
+def signs(buckets: int = BUCKETS, dimensions: int = DIMENSIONS) -> np.ndarray:
     """The random index vectors of all buckets, of ones and minus ones."""
-    return (((numbers(71, BUCKETS)[:, None] >> np.arange(1, dimensions + 1).astype(np.uint64)) & np.uint64(1)).astype(np.int8) * 2 - 1).astype(np.int8)
+    return (((numbers(71, buckets)[:, None] >> np.arange(1, dimensions + 1).astype(np.uint64)) & np.uint64(1)).astype(np.int8) * 2 - 1).astype(np.int8)
 
 
-def contexts(docs: DataFrame) -> np.ndarray:
-    """The sum of index vectors around every bucket's tokens, over all texts: BUCKETS x DIMENSIONS. Each task adds up its
-    own; the sums are added in two steps, so the last adds a bounded number a chunk."""
+def around(at: np.ndarray, begin: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """The sum of the index vectors up to WINDOW tokens from each token, within its document."""
+    doc = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+    out = np.zeros((len(at), index.shape[1]), np.int32)
+    for step in range(1, min(WINDOW, len(at) - 1) + 1):
+        same = (doc[step:] == doc[:-step])[:, None]
+        out[step:] += index[at[:-step]] * same
+        out[:-step] += index[at[step:]] * same
+    return out
+
+
+def contexts(docs: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """The sum of index vectors around every bucket's tokens, over all texts: buckets x DIMENSIONS. Each task adds up its
+    own and sends the buckets that it met; the sums are added in two steps, so the last adds a bounded number a chunk."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        index, total, seen = signs(), np.zeros((BUCKETS, DIMENSIONS), np.int64), False
+        index, total, met = signs(buckets), None, np.zeros(buckets, bool)
         for batch in batches:
             for _, _, data, offsets in groups(batch.column(0), 1 << 19):
-                at, begin = tokens(data, offsets)
+                at, begin = tokens(data, offsets, buckets)
                 if not len(at):
                     continue
-                seen = True
-                doc = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
-                around = np.zeros((len(at), DIMENSIONS), np.int32)
-                for step in range(1, WINDOW + 1):
-                    if step >= len(at):
-                        break
-                    same = (doc[step:] == doc[:-step])[:, None]
-                    around[step:] += index[at[:-step]] * same
-                    around[:-step] += index[at[step:]] * same
+                total = np.zeros((buckets, DIMENSIONS), np.int64) if total is None else total
+                sums = around(at, begin, index)
                 order = np.argsort(at, kind="stable")
                 found, first = np.unique(at[order], return_index=True)
-                total[found] += np.add.reduceat(around[order], first, axis=0)
-        if seen:
-            yield _sums(total, TaskContext.get().partitionId() % FANS)
+                total[found] += np.add.reduceat(sums[order], first, axis=0)
+                met[found] = True
+        if total is not None:
+            at = np.flatnonzero(met)
+            yield _sums(at, total[at], TaskContext.get().partitionId() % FANS)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[int, int], np.ndarray] = {}
+        total: dict[int, np.ndarray] = {}
+        met: dict[int, np.ndarray] = {}
+        fan = 0
         for batch in batches:
-            for chunk, fan, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                x = np.frombuffer(data.as_py(), np.int64)
-                total[chunk, fan] = total[chunk, fan] + x if (chunk, fan) in total else x
-        keys = list(total)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([total[k].tobytes() for k in keys], pa.binary())], names=["chunk", "fan", "data"])
-
-    def _sums(total: np.ndarray, fan: int) -> pa.RecordBatch:
-        parts = total.reshape(-1, CHUNK * DIMENSIONS)
-        return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([fan] * len(parts), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["chunk", "fan", "data"])
-
-    schema = "chunk int, fan int, data binary"
+            for chunk, fan, at, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                at = np.frombuffer(at.as_py(), "<u2")
+                if chunk not in total:
+                    total[chunk], met[chunk] = np.zeros((CHUNK, DIMENSIONS), np.int64), np.zeros(CHUNK, bool)
+                total[chunk][at] += np.frombuffer(pa.decompress(data.as_py(), 8 * DIMENSIONS * len(at), codec="zstd", asbytes=True), np.int64).reshape(-1, DIMENSIONS)
+                met[chunk][at] = True
+        for chunk, sums in total.items():
+            at = np.flatnonzero(met[chunk])
+            yield _sums(at + chunk * CHUNK, sums[at], fan)
+
+    def _sums(at: np.ndarray, total: np.ndarray, fan: int) -> pa.RecordBatch:
+        chunks, first = np.unique(at // CHUNK, return_index=True)
+        cut = lambda x: np.split(x, first[1:])
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(chunks, pa.int32()), pa.array([fan] * len(chunks), pa.int32()), pa.array([x.tobytes() for x in cut((at % CHUNK).astype("<u2"))], pa.binary()),
+                pa.array([pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in cut(total)], pa.binary()),
+            ],
+            names=["chunk", "fan", "at", "data"],
+        )
+
+    schema = "chunk int, fan int, at binary, data binary"
     parts = docs.select("text").mapInArrow(count, schema)
     some = parts.repartition("chunk", "fan").mapInArrow(add, schema).withColumn("fan", F.lit(0))
-    out = np.zeros((BUCKETS // CHUNK, CHUNK * DIMENSIONS), np.int64)
+    out = np.zeros((buckets, DIMENSIONS), np.int64)
     for row in some.repartition("chunk").mapInArrow(add, schema).collect():
-        out[row.chunk] = np.frombuffer(row.data, np.int64)
-    return out.reshape(BUCKETS, DIMENSIONS)
+        at = np.frombuffer(row.at, "<u2").astype(np.int64) + row.chunk * CHUNK
+        out[at] = np.frombuffer(pa.decompress(row.data, 8 * DIMENSIONS * len(at), codec="zstd", asbytes=True), np.int64).reshape(-1, DIMENSIONS)
+    return out
 
 
 def word_vectors(sums: np.ndarray) -> np.ndarray:
@@ -123,7 +144,7 @@ def pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
     """A row a text: mean of its words' vectors, mean of their squares, how alike neighbours are, and its length."""
     out = []
     for _, _, data, offsets in groups(texts, 1 << 19):
-        at, begin = tokens(data, offsets)
+        at, begin = tokens(data, offsets, len(vectors))
         v = vectors[at]
         sums = lambda x: np.diff(np.concatenate([np.zeros((1, x.shape[1])), np.cumsum(x, axis=0, dtype=np.float64)])[begin], axis=0)
         n = np.diff(begin)[:, None]
@@ -186,11 +207,11 @@ def fit(x: np.ndarray, y: np.ndarray, hidden: int = HIDDEN, epochs: int = EPOCHS
     return net
 
 
-def train(docs: DataFrame, labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, Network]:
+def train(docs: DataFrame, labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, buckets: int = BUCKETS) -> tuple[np.ndarray, Network]:
     """Word vectors over all of `docs` (doc_id, text), and a network fitted on `labelled` (doc_id, quality), of which
     about `sample_rows` are read. Labels that are null, or whose document is missing, are passed over."""
     text_batches(docs.sparkSession)
-    vectors = word_vectors(contexts(docs))
+    vectors = word_vectors(contexts(docs, buckets))
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
     rows = labelled.where("quality is not null and doc_id is not null").select(F.col("doc_id").alias("l_id"), F.col("quality").cast("int").alias("quality"))
     draw = F.xxhash64(F.lit("quality"), "l_id") / F.lit(2.0**64) + F.lit(0.5)
@@ -225,7 +246,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, Network]) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All of `documents`, scored by a model of the labels that are not held out; empty and null texts have the score of no
+    words, a null id counts as the empty text in the split, an empty table gives no rows."""
+    docs = spread(table(spark, sf_dir, "documents"))
     held_out = remainder(F.col("doc_id"), 5) == 0
     model = train(docs, table(spark, sf_dir, "labels").where(~held_out))
     return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
