@@ -1,11 +1,16 @@
 """Personal data by a skip-chain conditional random field.
 
 Patterns with checks find the base spans. They and looser candidates (numbers with seven digits or more, address-like
-words) are the nodes of a document's graph. Neighbours are linked as a chain; mentions of the same thing (the same
-closing digits, the same mailbox name), however far apart, are linked to one hub by skip edges that share a potential;
-a hub whose mentions hold base spans carries their labels, so that each repeat is one edge from them. Loopy message
-passing over both kinds of edges, until no message changes, labels the candidates consistently with the base spans,
-which are fixed.
+words) are the nodes of a document's graph. Neighbours are linked as a chain; mentions of the same or a similar thing (the
+same closing digits, the same mailbox name but for its signs), however far apart, are linked to one hub by skip edges that
+share a potential; a hub whose mentions hold base spans carries their labels, so that each repeat is one edge from them.
+Loopy message passing over both kinds of edges, until no message changes, labels the candidates consistently with the base
+spans, which are fixed.
+
+The field is fitted in two steps. Counts over all documents give the weights and potentials to start from. Then the
+likelihood of what is known (base spans, and candidates that failed a check, which are nothing) is raised on a bounded
+sample of documents, through the field itself: its gradient is what message passing expects of each weight with the known
+labels held, less what it expects with all of them free.
 """
 
 from __future__ import annotations
@@ -20,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.runtime import table
+from marlstone.runtime import spread, table, text_batches
 
 KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
 LABELS = len(KINDS) + 1
-#: Documents that the fit reads, by expectation; they are chosen by a hash of the id, and read whole.
-SAMPLE_DOCS = 20_000
+#: Documents with mentions on which the likelihood is raised, by expectation; chosen by a hash of the id, read whole.
+SAMPLE_DOCS = 2_000
+#: Gradient steps, their size, and how strongly weights are held to the counted ones.
+STEPS, RATE, HOLD = 30, 0.1, 0.02
 #: Messages that change less than this have stopped.
 STILL = 1e-6
 #: After so many sweeps ever smaller steps are taken, so that messages that would swing for ever stop too.
@@ -57,6 +64,10 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _letters(name: str) -> str:
+    return "".join(c for c in name.lower() if c.isalnum())
+
+
 def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
@@ -164,11 +175,11 @@ def graph(text: str | None) -> Graph | None:
     for i, (k, s, e, is_base) in enumerate(nodes):
         t = text[s:e]
         if "@" in t and k == 0:
-            keys = [("name", t.split("@")[0].lower())]
+            keys = [("name", t.split("@")[0].lower()), ("plain", _letters(t.split("@")[0]))]
         elif k == 1:
             keys = [("ip", t)]
         elif any(c.isalpha() for c in t):
-            keys = [("name", t.lower())]
+            keys = [("name", t.lower()), ("plain", _letters(t))]
         else:
             keys = [("digits", _digits(t)[-9:] if len(_digits(t)) >= 9 else _digits(t)), ("digits", _digits(t)[-7:])]
         for key in dict.fromkeys(keys):
@@ -216,11 +227,11 @@ def fit(patterns: dict[tuple[int, int], int], pairs: dict[tuple[str, int, int],
     return Model(w, np.clip(potential("chain", np.ones((LABELS, LABELS))), -1, 1), np.clip(potential("skip", agree * 50), -6, 6))
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """A model from about `sample_docs` whole texts, chosen by id hash. Only counts of patterns and of label pairs
-    go to the driver, whose number the features bound."""
-    total = docs.count()
-    draw = (F.xxhash64(F.lit("pii"), "doc_id") / F.lit(2.0**64)) + F.lit(0.5)
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, steps: int = STEPS) -> Model:
+    """A model of `docs` (doc_id, text): counts of patterns and of label pairs over all texts, whose number the features
+    bound, then `steps` gradient steps on about `sample_docs` whole texts with mentions, chosen by a hash of the id. Null
+    and empty texts say nothing; repeated rows count as often as they are there; an empty table gives the priors."""
+    text_batches(docs.sparkSession)
 
     def count(batches):
         seen: Counter = Counter()
@@ -229,6 +240,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
                 g = graph(text.as_py())
                 if g is None:
                     continue
+                seen["text", 0, 0] += 1
                 known = [b or f for (_, _, _, b), f in zip(g.nodes, g.failed)]
                 for (k, *_), p, on in zip(g.nodes, g.patterns, known):
                     if on:
@@ -240,63 +252,127 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
         keys = list(seen)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([k[2] for k in keys], pa.int64()), pa.array([seen[k] for k in keys], pa.int64())], names=["what", "a", "b", "n"])
 
-    sampled = docs.where(draw < min(1.0, sample_docs / max(1, total))).select("text")
-    rows = sampled.mapInArrow(count, "what string, a long, b long, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n")).collect()
-    return fit({(r.a, r.b): r.n for r in rows if r.what == "node"}, {(r.what, r.a, r.b): r.n for r in rows if r.what != "node"})
+    rows = docs.select("text").mapInArrow(count, "what string, a long, b long, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n")).collect()
+    model = fit({(r.a, r.b): r.n for r in rows if r.what == "node"}, {(r.what, r.a, r.b): r.n for r in rows if r.what in ("chain", "skip")})
+    share = min(1.0, sample_docs / max(1, sum(r.n for r in rows if r.what == "text")))
+    draw = F.xxhash64(F.lit("pii"), "doc_id", "text") / F.lit(2.0**64) + F.lit(0.5)
+
+    def with_mentions(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([graph(t.as_py()) is not None for t in batch.column(0)], pa.bool_()))
+
+    drawn = docs.where((draw < share) & F.col("text").rlike("[0-9@]")).select("text")
+    texts = sorted(r.text for r in drawn.mapInArrow(with_mentions, "text string").collect())
+    return raise_likelihood([graph(t) for t in texts], model, steps)
+
+
+def raise_likelihood(graphs: list[Graph], model: Model, steps: int = STEPS, rate: float = RATE, hold: float = HOLD) -> Model:
+    """The model after gradient steps on the log likelihood of the known labels of `graphs`, held to where it began."""
+    known = [[n[3] or f for n, f in zip(g.nodes, g.failed)] for g in graphs]
+    total = sum(map(sum, known))
+    if not total or not steps:
+        return model
+    start = [model.weights, model.chain, model.skip]
+    now = [x.copy() for x in start]
+    first, second = [np.zeros_like(x) for x in now], [np.zeros_like(x) for x in now]
+    for step in range(1, steps + 1):
+        held, free = (expected(graphs, Model(*now), k) for k in (known, None))
+        for i in range(3):
+            g = (held[i] - free[i]) / total - hold * (now[i] - start[i])
+            first[i] = 0.9 * first[i] + 0.1 * g
+            second[i] = 0.99 * second[i] + 0.01 * g * g
+            now[i] = now[i] + rate * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.99**step)) + 1e-8) * np.minimum(1, np.abs(g) * 1e3)
+    return Model(*now)
 
 
-def beliefs(graphs: list[Graph], model: Model) -> np.ndarray:
-    """Label probabilities of all nodes of all graphs, by loopy message passing on all of them at once. Each graph is
-    swept until its own messages stop changing, whatever others it is passed with."""
+@dataclass
+class Field:
+    """All nodes of some graphs, their hubs after them, and all edges; what message passing runs on."""
+
+    bits: np.ndarray
+    unary: np.ndarray
+    edges: np.ndarray  # a, b, kind (0 chain, 1 skip), graph
+    graphs: int
+
+
+def _field(graphs: list[Graph], model: Model, known: list[list[bool]] | None, free_hubs: bool) -> Field:
+    """The field with the labels that `known` marks held. With free_hubs every mention has its edge to its hubs; without,
+    the hub carries the known labels of its mentions itself, as what is held needs no message."""
     sizes = np.cumsum([0] + [len(g.nodes) for g in graphs])
     patterns = np.array([p for g in graphs for p in g.patterns], dtype=np.int64)
     bits = ((patterns[:, None] >> np.arange(BITS)) & 1).astype(float)
-    unary = np.concatenate([bits, np.ones((len(bits), 1))], axis=1) @ model.weights
-    fixed = [(sizes[k] + i, node[0]) for k, g in enumerate(graphs) for i, node in enumerate(g.nodes) if node[3]]
-    if fixed:
-        rows, labels = np.array(fixed).T
+    bits = np.concatenate([bits, np.ones((len(bits), 1))], axis=1)
+    unary = bits @ model.weights
+    held = [(sizes[k] + i, node[0]) for k, g in enumerate(graphs) for i, node in enumerate(g.nodes) if known is not None and known[k][i]]
+    if held:
+        rows, labels = np.array(held).T
         unary[rows] = -50.0
         unary[rows, labels] = 0.0
     edges = [(sizes[k] + a, sizes[k] + b, 0, k) for k, g in enumerate(graphs) for a, b in g.chain]
-    # Hubs are nodes after all the mentions. What is fixed needs no message, so base spans are not linked to them.
     hubs = []
     for k, g in enumerate(graphs):
         for own in g.hubs:
-            known = [g.nodes[i][0] for i in own if g.nodes[i][3]]
-            if len(known) == len(own):
+            told = [] if free_hubs or known is None else [g.nodes[i][0] for i in own if known[k][i]]
+            if told and len(told) == len(own):
                 continue
-            edges += [(len(unary) + len(hubs), sizes[k] + i, 1, k) for i in own if not g.nodes[i][3]]
-            share = np.bincount(known, minlength=LABELS) / len(known) if known else np.ones(LABELS)
+            edges += [(len(unary) + len(hubs), sizes[k] + i, 1, k) for i in own if free_hubs or not known[k][i]]
+            share = np.bincount(told, minlength=LABELS) / len(told) if told else np.ones(LABELS)
             hubs.append(np.log(np.maximum(share, np.exp(-50.0))))
-    count = len(unary)
     unary = np.concatenate([unary, np.array(hubs).reshape(-1, LABELS)])
-    unary -= unary.max(axis=1, keepdims=True)
-    if edges:
-        a, b, kind, of = np.array(edges).T
-        source, target = np.concatenate([a, b]), np.concatenate([b, a])
-        m = len(a)
-        of = np.concatenate([of, of])
-        potential = np.exp(np.stack([model.chain, model.skip])[np.concatenate([kind, kind])])
-        logs = np.zeros((2 * m, LABELS))
-        back = np.concatenate([np.arange(m, 2 * m), np.arange(m)])
-        on, step, sweep = np.arange(2 * m), 0.5, 0
-        while len(on):
-            total = unary.copy()
-            np.add.at(total, target[on], logs[on])
-            out = total[source[on]] - logs[back[on]]
-            out = np.exp(out - out.max(axis=1, keepdims=True))
-            new = np.log(np.maximum(np.einsum("ei,eij->ej", out, potential[on]), 1e-30))
-            new -= new.max(axis=1, keepdims=True)
-            moved = step * (new - logs[on])
-            logs[on] += moved
-            change = np.zeros(len(graphs))
-            np.maximum.at(change, of[on], np.abs(moved).max(axis=1))
-            on = on[change[of[on]] >= STILL]
-            sweep += 1
-            step *= 0.9 if sweep > FREE_SWEEPS else 1
-        np.add.at(unary, target, logs)
-    p = np.exp(unary[:count] - unary[:count].max(axis=1, keepdims=True))
-    return p / p.sum(axis=1, keepdims=True)
+    return Field(bits, unary - unary.max(axis=1, keepdims=True), np.array(edges, np.int64).reshape(-1, 4), len(graphs))
+
+
+def _pass(field: Field, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Beliefs of all nodes and of all edges (a's label, b's label) by loopy message passing on all graphs at once. Each
+    graph is swept until its own messages stop changing, whatever others it is passed with."""
+    a, b, kind, of = field.edges.T
+    m = len(a)
+    source, target, of = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([of, of])
+    potential = np.exp(np.stack([model.chain, model.skip])[np.concatenate([kind, kind])])
+    logs = np.zeros((2 * m, LABELS))
+    back = np.concatenate([np.arange(m, 2 * m), np.arange(m)])
+    on, step, sweep = np.arange(2 * m), 0.5, 0
+
+    def gathered() -> np.ndarray:
+        total = field.unary.copy()
+        np.add.at(total, target, logs)
+        return total
+
+    while len(on):
+        total = field.unary.copy()
+        np.add.at(total, target[on], logs[on])
+        out = total[source[on]] - logs[back[on]]
+        out = np.exp(out - out.max(axis=1, keepdims=True))
+        new = np.log(np.maximum(np.einsum("ei,eij->ej", out, potential[on]), 1e-30))
+        new -= new.max(axis=1, keepdims=True)
+        moved = step * (new - logs[on])
+        logs[on] += moved
+        change = np.zeros(field.graphs)
+        np.maximum.at(change, of[on], np.abs(moved).max(axis=1))
+        on = on[change[of[on]] >= STILL]
+        sweep += 1
+        step *= 0.9 if sweep > FREE_SWEEPS else 1
+    total = gathered()
+    p = np.exp(total - total.max(axis=1, keepdims=True))
+    both = (total[a] - logs[m:])[:, :, None] + (total[b] - logs[:m])[:, None, :] + np.log(potential[:m])
+    q = np.exp(both - both.max(axis=(1, 2), keepdims=True))
+    return p / p.sum(axis=1, keepdims=True), q / q.sum(axis=(1, 2), keepdims=True)
+
+
+def expected(graphs: list[Graph], model: Model, known: list[list[bool]] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What the field expects of every weight and potential, with the labels that `known` marks held. The potentials are
+    symmetric, and so are their sums."""
+    field = _field(graphs, model, known, True)
+    p, q = _pass(field, model)
+    kind = field.edges[:, 2]
+    pairs = [q[kind == k].sum(axis=0) for k in (0, 1)]
+    return field.bits.T @ p[: len(field.bits)], *((x + x.T) / 2 for x in pairs)
+
+
+def beliefs(graphs: list[Graph], model: Model) -> np.ndarray:
+    """Label probabilities of all nodes of all graphs, base spans being held."""
+    field = _field(graphs, model, [[n[3] for n in g.nodes] for g in graphs], False)
+    return _pass(field, model)[0][: len(field.bits)]
 
 
 def label(texts: list[str | None], model: Model, sure: float = SURE) -> list[list[tuple[int, int, int, bool]]]:
@@ -336,6 +412,7 @@ def find(docs: DataFrame, model: Model, sure: float = SURE) -> DataFrame:
     """doc_id and spans (kind, start, end in code points, base) of every row of `docs` (doc_id, text), by kind as in
     KINDS, then start. Null text counts as empty; texts without candidates have an empty array; repeated rows keep one
     row each; an empty table gives none. Other columns are not read."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,7 +428,8 @@ def find(docs: DataFrame, model: Model, sure: float = SURE) -> DataFrame:
 
 def redact(docs: DataFrame, model: Model, sure: float = SURE) -> DataFrame:
     """`docs` with its columns as they are, but every span of text replaced by its kind and n_chars, if there, set anew.
-    Null text stays null."""
+    Null text stays null; repeated rows and null ids stay; an empty table gives no rows. Other columns may have any name."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")
 
@@ -372,7 +450,8 @@ def _is(kind: str):
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All of `documents`, a row each; null texts have no spans, an empty table gives no rows."""
+    docs = spread(table(spark, sf_dir, "documents"))
     found = find(docs, train(docs))
     base = F.filter("spans", lambda s: s["base"])
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
