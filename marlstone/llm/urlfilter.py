@@ -11,26 +11,39 @@ from pyspark.sql import functions as F
 
 from marlstone.runtime import table
 
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:\[\]]*)"
+_AUTHORITY = r"^([A-Za-z][A-Za-z0-9+.-]*)://((?:[^/?#@]*@)?)(\[[^\]/?#]*\]|[^/?#:\[\]]*)(?::([0-9]*))?([^#]*)"
 
 
 def host_of(url: Column) -> Column:
-    """The host in lower case; empty where the text is no URL."""
-    return F.lower(F.regexp_extract(url, HOST, 1))
+    """The host in lower case, an IPv6 address in its brackets, without a dot at the end; empty where the text is no URL."""
+    return F.regexp_replace(F.lower(F.regexp_extract(url, HOST, 1)), r"\.$", "")
+
+
+def normal_url(url: Column) -> Column:
+    """The URL with scheme and host in lower case, without its fragment, its scheme's own port and the host's last dot, and
+    with a path; other texts as they are but for the fragment."""
+    part = lambda n: F.regexp_extract(url, _AUTHORITY, n)
+    scheme, port, rest = F.lower(part(1)), part(4), part(5)
+    own = (port == "") | (scheme == "http") & (port == "80") | (scheme == "https") & (port == "443")
+    path = F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))
+    whole = F.concat(scheme, F.lit("://"), part(2), host_of(url), F.when(own, F.lit("")).otherwise(F.concat(F.lit(":"), port)), path)
+    return F.when(host_of(url) != "", whole).otherwise(F.regexp_replace(url, "#.*$", ""))
 
 
 def keys_of(url: Column) -> Column:
-    """(kind, pattern) of all that an entry can name: the URL without its fragment, the host, and the host's parent
+    """(kind, pattern) of all that an entry can name: the URL in its normal form, the host, and the host's parent
     domains of two labels or more, the host among them."""
     host = host_of(url)
     labels = F.split(host, r"\.")
-    n = F.size(labels)
+    # an address has no parent domains
+    n = F.when(host.startswith("[") | host.rlike(r"^[0-9.]+$"), F.lit(1)).otherwise(F.size(labels))
     domains = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, n), "."))
     key = lambda kind, pattern: F.struct(F.lit(kind).alias("kind"), pattern.alias("pattern"))
     return F.when(
         host != "",
         F.concat(
-            F.array(key("url", F.regexp_replace(url, "#.*$", "")), key("host", host)),
+            F.array(key("url", normal_url(url)), key("host", host)),
             F.when(n >= 2, F.transform(domains, lambda d: key("domain", d))).otherwise(F.array().cast("array<struct<kind:string,pattern:string>>")),
         ),
     )
@@ -39,9 +52,11 @@ def keys_of(url: Column) -> Column:
 def intervals(entries: DataFrame) -> DataFrame:
     """`entries` (list, kind, pattern, action, at) to (list, kind, pattern, since, until): from an `add` to the next
     event of the same pattern on the same list, until is null while it holds on. At one time a `remove` wins over an
-    `add`. Events with a null anywhere, and repeated ones, say nothing more."""
-    known = entries.select("list", "kind", "pattern", "action", "at").dropna()
-    one = known.groupBy("list", "kind", "pattern", "at").agg(F.max("action").alias("action"))
+    `add`. Patterns are brought to the form of captures' keys. Events with a null anywhere or another action, and repeated
+    ones, say nothing more; an empty table has no intervals."""
+    known = entries.select("list", "kind", "pattern", "action", "at").dropna().where("action in ('add', 'remove')")
+    pattern = F.when(F.col("kind") == "url", normal_url(F.col("pattern"))).otherwise(F.regexp_replace(F.lower("pattern"), r"\.$", ""))
+    one = known.withColumn("pattern", pattern).groupBy("list", "kind", "pattern", "at").agg(F.max("action").alias("action"))
     order = Window.partitionBy("list", "kind", "pattern").orderBy("at")
     return one.withColumn("until", F.lead("at").over(order)).where("action = 'add'").select("list", "kind", "pattern", F.col("at").alias("since"), "until")
 
@@ -72,10 +87,11 @@ def _number(text: Column) -> Column:
 
 def dated_entries(pages: DataFrame) -> DataFrame:
     """A deterministic dated list over the hosts, domains and URLs of `pages`, for a corpus that brings none: hashes
-    of the patterns decide which are listed, when, and when they are taken off again."""
+    of the patterns decide which are listed, when, and when they are taken off again. Pages without URL give none;
+    repeated ones give their entries once; an empty table gives none."""
     hosts = pages.select(host_of(F.col("url")).alias("pattern")).where("pattern <> ''").distinct()
     domains = hosts.select(F.regexp_extract("pattern", r"([^.]+\.[^.]+)$", 1).alias("pattern")).where("pattern <> ''").distinct()
-    urls = pages.select(F.regexp_replace("url", "#.*$", "").alias("pattern")).where("pattern is not null").distinct()
+    urls = pages.select(normal_url(F.col("url")).alias("pattern")).where("pattern is not null").distinct()
     listed = None
     for kind, patterns, every in (("host", hosts, 4), ("domain", domains, 8), ("url", urls, 32)):
         some = patterns.withColumn("n", _number(F.concat(F.lit(kind), "pattern"))).where(F.col("n") % every == 0)
@@ -89,15 +105,18 @@ def dated_entries(pages: DataFrame) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as captures of one day of 2024 each, by id."""
+    """Pages as captures of one day of 2024 each, by id; without URL they match nothing, an empty table gives no rows."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     captures = pages.withColumn("fetched_at", F.timestamp_seconds(F.lit(1704067200) + (F.col("page_id") * 37 % 366) * 86400))
     return evaluate(captures, dated_entries(pages)).select("page_id", "url", F.date_format("fetched_at", "yyyy-MM-dd").alias("fetched"), "blocked", "n_entries", "lists")
 
 
 OP2_SQL = r"""
-WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
-    regexp_replace(url, '#.*$', '') AS bare, TIMESTAMP '2024-01-01' + to_days((page_id * 37 % 366)::INTEGER) AS t FROM pages),
+WITH q AS (SELECT page_id, url, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:\[\]]*)', 1)), '\.$', '') AS host,
+    regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://((?:[^/?#@]*@)?)(\[[^\]/?#]*\]|[^/?#:\[\]]*)(?::([0-9]*))?([^#]*)', ['scheme', 'usr', 'h', 'port', 'rest']) AS u, TIMESTAMP '2024-01-01' + to_days((page_id * 37 % 366)::INTEGER) AS t FROM pages),
+p AS (SELECT page_id, url, host, t, CASE WHEN host = '' THEN regexp_replace(url, '#.*$', '') ELSE lower(u.scheme) || '://' || u.usr || host
+    || CASE WHEN u.port = '' OR lower(u.scheme) = 'http' AND u.port = '80' OR lower(u.scheme) = 'https' AND u.port = '443' THEN '' ELSE ':' || u.port END
+    || CASE WHEN starts_with(u.rest, '/') THEN u.rest ELSE '/' || u.rest END END AS bare FROM q),
 patterns AS (
   SELECT DISTINCT 'host' AS kind, host AS pattern, 4 AS every FROM p WHERE host <> ''
   UNION SELECT DISTINCT 'domain', regexp_extract(host, '([^.]+\.[^.]+)$', 1), 8 FROM p WHERE regexp_extract(host, '([^.]+\.[^.]+)$', 1) <> ''
@@ -109,7 +128,7 @@ held AS (
   UNION ALL SELECT list, kind, pattern, TIMESTAMP '2024-01-01' + to_days((d + 150)::INTEGER), NULL FROM listed),
 parts AS (SELECT *, string_split(host, '.') AS l FROM p WHERE host <> '' AND t IS NOT NULL),
 keys AS (SELECT page_id, t, 'url' AS k, bare AS q FROM parts UNION ALL SELECT page_id, t, 'host', host FROM parts
-  UNION ALL SELECT page_id, t, 'domain', array_to_string(l[i:len(l)], '.') FROM (SELECT *, unnest(range(1, len(l)::BIGINT)) AS i FROM parts WHERE len(l) >= 2)),
+  UNION ALL SELECT page_id, t, 'domain', array_to_string(l[i:len(l)], '.') FROM (SELECT *, unnest(range(1, len(l)::BIGINT)) AS i FROM parts WHERE len(l) >= 2 AND host NOT LIKE '[%' AND NOT regexp_matches(host, '^[0-9.]+$'))),
 hits AS (SELECT page_id, count(*) AS n, string_agg(DISTINCT list, ',' ORDER BY list) AS lists FROM keys JOIN held
   ON k = kind AND q = pattern AND t >= since AND (until IS NULL OR t < until) GROUP BY page_id)
 SELECT p.page_id, p.url, strftime(p.t, '%Y-%m-%d') AS fetched, h.n IS NOT NULL AS blocked, coalesce(h.n, 0)::BIGINT AS n_entries, coalesce(h.lists, '') AS lists
