@@ -16,3 +16,14 @@ def asof(left: DataFrame, right: DataFrame, by: str, on: str, take: list[str]) -
     seen = Window.partitionBy(by).orderBy(on, "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     carried = l.unionByName(r).withColumns({f"r_{c}": F.last(f"r_{c}", ignorenulls=True).over(seen) for c in take})
     return carried.where("side = 1").select("row.*", *[F.col(f"r_{c}").alias(c) for c in take])
+
+
+def between(ranges: DataFrame, points: DataFrame, low: str, high: str, at: str, width: float) -> DataFrame:
+    """Pairs of `ranges` and `points` with low <= at <= high, without any key to meet by: both are dealt to buckets of
+    `width`, a range to all that it touches, and the bounds decide. A point has one bucket, so no pair comes twice. Nulls meet
+    nothing. `width` near the usual range keeps both the buckets of a range and the points of a bucket few."""
+    bucket = lambda c: F.floor(F.col(c) / width).cast("long")
+    wide = ranges.where(F.col(low) <= F.col(high)).withColumn("range_bucket", F.explode(F.sequence(bucket(low), bucket(high))))
+    placed = points.withColumn("point_bucket", bucket(at))
+    met = wide.join(placed, (F.col("range_bucket") == F.col("point_bucket")) & F.col(at).between(F.col(low), F.col(high)))
+    return met.drop("range_bucket", "point_bucket")

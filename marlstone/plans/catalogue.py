@@ -379,3 +379,86 @@ def pdf_recurring_lines(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT l_suppkey AS doc, median(l_quantity) AS body_size, count(*) AS n FROM lineitem GROUP BY l_suppkey")
 def pdf_body_font_median(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("doc")).agg(F.median("l_quantity").alias("body_size"), F.count("*").alias("n"))
+
+
+# ---- guards and rows of cells --------------------------------------------------------------------------------------
+
+_V4 = "(c_custkey * 2654435761 % 4294967296)::BIGINT"
+_V4_TEXT = "((v >> 24) & 255) || '.' || ((v >> 16) & 255) || '.' || ((v >> 8) & 255) || '.' || (v & 255)"
+_NETS = ((0, 8), (10 << 24, 8), ((100 << 24) + (64 << 16), 10), (127 << 24, 8), ((169 << 24) + (254 << 16), 16), ((172 << 24) + (16 << 16), 12), (192 << 24, 24), ((192 << 24) + (168 << 16), 16), ((198 << 24) + (18 << 16), 15), (224 << 24, 4), (240 << 24, 4))
+
+
+@query(f"""WITH a AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN [10::BIGINT, 127, 172, 192, 169, 100, 198, 8][c_custkey % 8 + 1] * 16777216 + ({_V4} % 16777216) ELSE {_V4} END AS v FROM customer),
+b AS (SELECT *, {_V4_TEXT} AS host, {" OR ".join(f"v BETWEEN {n} AND {n + (1 << (32 - k)) - 1}" for n, k in _NETS)} AS private FROM a),
+u AS (SELECT c_custkey, private, CASE c_custkey % 5 WHEN 0 THEN 'http://' || host || '/x' WHEN 1 THEN 'https://user@' || host || ':8443' WHEN 2 THEN 'http://[::ffff:' || host || ']/' WHEN 3 THEN 'HTTP://' || v || '/' ELSE CASE WHEN c_custkey % 2 = 0 THEN 'ftp://' || host ELSE 'http://localhost.localdomain/' END END AS url FROM b)
+SELECT c_custkey, url, CASE WHEN c_custkey % 5 = 4 THEN CASE WHEN c_custkey % 2 = 0 THEN 'scheme' ELSE 'host' END WHEN private THEN 'address' ELSE 'ok' END AS verdict FROM u""")
+def url_guard(spark: SparkSession, sf: str) -> DataFrame:
+    """Addresses of customers' numbers in the forms that URLs give them."""
+    from marlstone.operators import urls as U
+
+    key = F.col("c_custkey")
+    v = key * F.lit(2654435761) % F.lit(4294967296)
+    first = F.element_at(F.array(*[F.lit(x).cast("long") for x in (10, 127, 172, 192, 169, 100, 198, 8)]), (key % 8 + 1).cast("int"))
+    numbered = table(spark, sf, "customer").select("c_custkey", F.when(key % 3 == 0, first * 16777216 + v % 16777216).otherwise(v).cast("long").alias("v"))
+    host = F.concat_ws(".", *[F.floor(F.col("v") / (1 << k)) % 256 for k in (24, 16, 8, 0)])
+    form = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    url = (
+        F.when(key % 5 == 0, form("http://", host, "/x")).when(key % 5 == 1, form("https://user@", host, ":8443")).when(key % 5 == 2, form("http://[::ffff:", host, "]/"))
+        .when(key % 5 == 3, form("HTTP://", F.col("v").cast("string"), "/")).when(key % 2 == 0, form("ftp://", host)).otherwise(F.lit("http://localhost.localdomain/"))
+    )
+    return numbered.withColumn("url", url).select("c_custkey", "url", U.url_verdict(F.col("url")).alias("verdict"))
+
+
+_CELLS = "[[n_name, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey::VARCHAR ELSE '' END, ''], ['', '', ''], [n_name, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey::VARCHAR ELSE '' END, ''], ['x', '', 'y1']]"
+
+
+@query(f"""WITH r AS (SELECT n_nationkey, flatten({_CELLS}) AS c FROM nation), f AS (SELECT n_nationkey, list_filter(c, lambda x: x <> '') AS said, len(c) AS n FROM r)
+SELECT n_nationkey, round(len(said) / n, 6) AS fill, round(len(list_filter(said, lambda x: regexp_matches(x, '[0-9]'))) / len(said), 6) AS numeric, len(said) >= 4 AS useful FROM f""")
+def table_fill_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    """Shares of filled cells and of cells with figures, of small tables of nations."""
+    from marlstone.operators import layout as L
+
+    key, even = F.col("n_nationkey"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_nationkey").cast("string")).otherwise("")
+    row = lambda *cells: F.array(*[F.lit(c) if isinstance(c, str) else c for c in cells])
+    rows = F.array(row(F.col("n_name"), even, ""), row("", "", ""), row(F.col("n_name"), even, ""), row("x", "", "y1"))
+    t = table(spark, sf, "nation").select(key, rows.alias("rows"))
+    return t.select("n_nationkey", F.round(L.filled(F.col("rows")) / (F.size("rows") * L.width(F.col("rows"))), 6).alias("fill"), F.round(L.numeric_ratio(F.col("rows")), 6).alias("numeric"), L.is_useful_table(F.col("rows")).alias("useful"))
+
+
+@query("""WITH j AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey END AS user_id, ['a.PDF','b.exe','x/c.txt',NULL,'d.docx'][o_orderkey % 5 + 1] AS filename, ['application/pdf',NULL,'text/plain','x/y'][o_orderkey % 4 + 1] AS mime FROM orders),
+k AS (SELECT *, lower(regexp_extract(filename, '\\.([^.]+)$', 1)) AS e FROM j), t AS (SELECT *, CASE e WHEN 'pdf' THEN 'pdf' WHEN 'txt' THEN 'text' WHEN 'docx' THEN 'docx' END AS named FROM k),
+d AS (SELECT *, CASE WHEN filename IS NULL THEN 'text' ELSE named END AS source_type FROM t)
+SELECT id, source_type, CASE WHEN source_type IS NULL THEN 'source_type' WHEN filename IS NOT NULL AND NOT (coalesce(mime, 'application/octet-stream') IN ('application/pdf', 'application/octet-stream') OR mime = 'text/plain') THEN 'upload' END AS refusal,
+  CASE WHEN filename IS NULL THEN 'input.txt' ELSE regexp_extract(filename, '([^/]+)$', 1) END AS input_filename, 'file' AS queue_name, CASE WHEN user_id IS NULL THEN '2024-01-02' ELSE '2024-01-08' END AS until FROM d""")
+def jobs_created(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders in the role of requests for jobs."""
+    key = F.col("o_orderkey")
+    pick = lambda n, *xs: F.element_at(F.array(*[F.lit(x) if x else F.lit(None).cast("string") for x in xs]), (key % n + 1).cast("int"))
+    none = F.lit(None).cast("string")
+    asked = table(spark, sf, "orders").select(key.alias("id"), F.when(key % 3 != 0, F.col("o_custkey")).alias("user_id"), pick(5, "a.PDF", "b.exe", "x/c.txt", None, "d.docx").alias("filename"), pick(4, "application/pdf", None, "text/plain", "x/y").alias("mime"), none.alias("requested"), none.alias("url"), F.lit("t").alias("text"), none.alias("html"), none.alias("address"), none.alias("agent"))
+    made = J.created(asked, F.lit("2024-01-01 00:00:00").cast("timestamp"), F.lit("s"))
+    return made.select("id", "source_type", "refusal", "input_filename", "queue_name", F.date_format("expires_at", "yyyy-MM-dd").alias("until"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+k AS (SELECT doc_id, i, CASE WHEN trim(line) = '' THEN 'blank' WHEN regexp_matches(trim(line), '^#{1,6}\s+.+$') THEN 'heading' WHEN starts_with(trim(line), '>') THEN 'quote' ELSE 'paragraph' END AS kind FROM l
+  WHERE doc_id IN (SELECT doc_id FROM documents WHERE NOT contains(coalesce(text, ''), '```') AND NOT contains(coalesce(text, ''), '$$') AND NOT contains(coalesce(text, ''), '|') AND NOT contains(coalesce(text, ''), '!['))),
+g AS (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM k)
+SELECT doc_id, kind, count(*) AS n FROM g WHERE kind IN ('heading', 'quote') OR kind = 'paragraph' AND coalesce(before, '') <> 'paragraph' GROUP BY ALL""")
+def viewer_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks by kind of the documents that have neither fences nor formulas, tables and images."""
+    from marlstone.operators import viewer as V
+
+    docs = spread(table(spark, sf, "documents")).withColumn("text", T.text0(F.col("text")))
+    plain = docs.where(~F.col("text").contains("```") & ~F.col("text").contains("$$") & ~F.col("text").contains("|") & ~F.col("text").contains("!["))
+    return V.with_blocks(plain, "text", "doc_id").select("doc_id", F.explode("blocks.kind").alias("kind")).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
+
+
+@query("""WITH r AS (SELECT o_orderkey, ['succeeded', 'pending', 'failed', 'succeeded'][o_orderkey % 4 + 1] AS s, ['md', 'zip', 'pdf'][o_orderkey % 3 + 1] AS f, CASE WHEN o_orderkey % 7 <> 0 THEN 'p' END AS p FROM orders)
+SELECT o_orderkey, CASE WHEN s <> 'succeeded' THEN 409 WHEN f = 'pdf' THEN 400 WHEN p IS NULL THEN 404 ELSE 200 END AS code, CASE WHEN s = 'succeeded' AND f <> 'pdf' AND p IS NOT NULL THEN o_orderkey || '.' || f END AS name FROM r""")
+def jobs_download(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    pick = lambda n, *xs: F.element_at(F.array(*map(F.lit, xs)), (key % n + 1).cast("int"))
+    path = F.when(key % 7 != 0, F.lit("p"))
+    d = J.download(pick(4, "succeeded", "pending", "failed", "succeeded"), pick(3, "md", "zip", "pdf"), F.lit(None).cast("string"), key, path, path)
+    return table(spark, sf, "orders").select("o_orderkey", d["code"].alias("code"), d["name"].alias("name"))

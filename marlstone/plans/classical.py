@@ -169,3 +169,85 @@ def rel_recursive(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql(
         "WITH RECURSIVE c AS (SELECT cast(n_nationkey AS bigint) AS k, 0 AS d, cast(n_nationkey AS bigint) AS at FROM marlstone_nation UNION ALL SELECT k, d + 1, at div 2 FROM c WHERE at > 0) SELECT cast(k AS int) AS k, max(d) AS depth FROM c GROUP BY k"
     )
+
+
+@query("SELECT n_name, s_suppkey FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey AND s_acctbal > 5000")
+def rel_right_join(spark: SparkSession, sf: str) -> DataFrame:
+    rich = table(spark, sf, "supplier").where("s_acctbal > 5000")
+    return rich.join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"), "right").select("n_name", "s_suppkey")
+
+
+@query("""SELECT o_orderstatus, o_orderpriority, year(o_orderdate)::INTEGER AS y, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders
+GROUP BY GROUPING SETS ((o_orderstatus, y), (o_orderpriority), ())""")
+def rel_grouping_sets(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").withColumn("y", F.year("o_orderdate"))
+    sets = [[F.col("o_orderstatus"), F.col("y")], [F.col("o_orderpriority")], []]
+    return o.groupingSets(sets, "o_orderstatus", "o_orderpriority", "y").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("""WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL)
+SELECT user_id, arg_min(event_type, (-n, event_type)) AS commonest, max(n) AS times FROM c GROUP BY user_id""")
+def rel_mode(spark: SparkSession, sf: str) -> DataFrame:
+    """The commonest value, the first by name of equals."""
+    per = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return per.groupBy("user_id").agg(F.min_by("event_type", F.struct(-F.col("n"), "event_type")).alias("commonest"), F.max("n").alias("times"))
+
+
+@query("""SELECT o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS r, round(percent_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority), 6) AS pr, round(cume_dist() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority), 6) AS cd,
+nth_value(o_orderkey, 2) OVER w AS second, first_value(o_orderkey) OVER w AS first_one, last_value(o_orderkey) OVER w AS last_one,
+round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY datediff('day', DATE '1970-01-01', o_orderdate::DATE) RANGE BETWEEN 90 PRECEDING AND CURRENT ROW), 2) AS quarter
+FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
+def rel_frames(spark: SparkSession, sf: str) -> DataFrame:
+    by = Window.partitionBy("o_custkey").orderBy("o_orderpriority")
+    whole = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    days = Window.partitionBy("o_custkey").orderBy(F.unix_date(F.col("o_orderdate").cast("date"))).rangeBetween(-90, 0)
+    return table(spark, sf, "orders").select(
+        "o_orderkey", F.rank().over(by).alias("r"), F.round(F.percent_rank().over(by), 6).alias("pr"), F.round(F.cume_dist().over(by), 6).alias("cd"), F.nth_value("o_orderkey", 2).over(whole).alias("second"),
+        F.first("o_orderkey").over(whole).alias("first_one"), F.last("o_orderkey").over(whole).alias("last_one"), F.round(F.sum("o_totalprice").over(days), 2).alias("quarter"),
+    )
+
+
+@query("""(SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'O' INTERSECT ALL SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')
+EXCEPT ALL SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'""")
+def rel_bag_operations(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders")
+    of = lambda s: o.where(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("k"))
+    return of("O").intersectAll(of("F")).exceptAll(of("P"))
+
+
+@query("SELECT a.s_suppkey AS poor, count(*) AS n, min(b.p_partkey) AS first_part FROM supplier a JOIN part b ON b.p_retailprice BETWEEN abs(a.s_acctbal) / 8 AND abs(a.s_acctbal) / 8 + 20 GROUP BY a.s_suppkey")
+def rel_pure_range_join(spark: SparkSession, sf: str) -> DataFrame:
+    """A range join without an equality: both sides meet in buckets of the range's width, so that no side is crossed."""
+    from marlstone.operators import temporal
+
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("poor"), (F.abs("s_acctbal") / 8).alias("low")).withColumn("high", F.col("low") + 20)
+    p = table(spark, sf, "part").select("p_partkey", F.col("p_retailprice").cast("double").alias("price"))
+    return temporal.between(s, p, "low", "high", "price", 20.0).groupBy("poor").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_part"))
+
+
+@query("SELECT o_orderkey, unnest(['status', 'priority']) AS name, unnest([o_orderstatus, o_orderpriority]) AS v FROM orders")
+def rel_inline(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = F.array(F.struct(F.lit("status").alias("name"), F.col("o_orderstatus").alias("v")), F.struct(F.lit("priority").alias("name"), F.col("o_orderpriority").alias("v")))
+    return table(spark, sf, "orders").select("o_orderkey", F.inline(pairs))
+
+
+@query("SELECT c_custkey, t.o_orderkey, t.o_totalprice FROM customer, LATERAL (SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) t")
+def rel_lateral_top(spark: SparkSession, sf: str) -> DataFrame:
+    """The two largest orders of each customer: a grouped limit, which Spark cuts before its shuffle."""
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    best = table(spark, sf, "orders").withColumn("r", F.row_number().over(w)).where("r <= 2")
+    return table(spark, sf, "customer").join(best, F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("SELECT event_type, abs(count(DISTINCT user_id) - count(DISTINCT user_id)) <= 5 AS users_near, true AS median_near FROM events GROUP BY event_type")
+def rel_approximate(spark: SparkSession, sf: str) -> DataFrame:
+    """Approximate counts and percentiles, told by whether they are within 5 % (and 5 users) of the exact ones."""
+    e = table(spark, sf, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.01).alias("u"), F.countDistinct("user_id").alias("users"), F.percentile_approx("value", 0.5, 10000).alias("m"), F.median("value").alias("med"))
+    return e.select("event_type", (F.abs(F.col("u") - F.col("users")) <= F.greatest(F.lit(5), F.col("users") * 0.05)).alias("users_near"), (F.abs(F.col("m") - F.col("med")) <= F.abs("med") * 0.05 + 0.05).alias("median_near"))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE ('0x' || substr(md5(l_orderkey || ':' || l_linenumber), 1, 8))::BIGINT < 429496730")
+def rel_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """A tenth of the rows, the same ones in every run: those whose hash is low."""
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", "l_orderkey", "l_linenumber")), 1, 8), 16, 10).cast("long")
+    return table(spark, sf, "lineitem").where(draw < 429496730).select("l_orderkey", "l_linenumber")

@@ -49,17 +49,22 @@ STATE = "status string, progress int, n long, at timestamp"
 STEPS = {"created": ("pending", 0), "started": ("processing", 5), "converted": ("processing", 70), "scored": ("processing", 85), "finished": ("succeeded", 100), "failed": ("failed", 100)}
 
 
-def lifecycle(log: DataFrame, timeout: str | None = "60 minutes") -> DataFrame:
+def lifecycle(log: DataFrame, timeout: str | None = "60 minutes", keep: str = "7 days") -> DataFrame:
     """The status of jobs from their log (job_id, step, ts), kept as state: an event moves a job on, a finished one stays
-    as it is, and a job that is silent for `timeout` of event time fails."""
+    as it is, and a job that is silent for `timeout` of event time fails. What has finished or failed is remembered for
+    `keep` of event time, so that late events do not begin it anew, and then forgotten."""
     wait_ms = int(pd.Timedelta(timeout).total_seconds() * 1000) if timeout else None
+    keep_ms = int(pd.Timedelta(keep).total_seconds() * 1000)
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         status, progress, n, at = state.get if state.exists else ("pending", 0, 0, pd.Timestamp(0))
         if state.hasTimedOut:
-            if status in ("pending", "processing"):
-                status, progress = "failed", 100
-            state.remove()
+            if status not in ("pending", "processing"):
+                state.remove()
+                return
+            status, progress = "failed", 100
+            state.update((status, progress, n, at))
+            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + keep_ms)
         else:
             for rows in batches:
                 for step, ts in rows.sort_values("ts")[["step", "ts"]].itertuples(index=False):
@@ -68,13 +73,43 @@ def lifecycle(log: DataFrame, timeout: str | None = "60 minutes") -> DataFrame:
                         status, progress = STEPS[step]
             state.update((status, progress, n, at.to_pydatetime()))
             if wait_ms:
-                state.setTimeoutTimestamp(max(int(at.timestamp() * 1000) + wait_ms, state.getCurrentWatermarkMs() + 1))
+                wait = keep_ms if status in ("succeeded", "failed") else wait_ms
+                state.setTimeoutTimestamp(max(int(at.timestamp() * 1000) + wait, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"job_id": [key[0]], "status": [status], "progress": [progress], "n": [n]})
 
     marked = log.withWatermark("ts", "10 minutes")
     return marked.groupBy("job_id").applyInPandasWithState(fold, "job_id long, status string, progress int, n long", STATE, "update", "EventTimeTimeout" if timeout else "NoTimeout")
 
 
+def admissions(requests: DataFrame, user_limit: int = 3, guest_limit: int = 1, forget: str = "1 day") -> DataFrame:
+    """Which jobs may begin, from a stream of (requester, is_user, job_id, step, ts): the active jobs of a requester are
+    state; `created` is admitted while they are fewer than the limit, `finished` and `failed` make room. Events of a batch go
+    by time, then job, ends before beginnings. A requester that is silent for `forget` of event time starts with none."""
+    forget_ms = int(pd.Timedelta(forget).total_seconds() * 1000)
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        active = set(state.get[0]) if state.exists else set()
+        rows = pd.concat(list(batches))
+        rows = rows.assign(begins=rows.step == "created").sort_values(["ts", "begins", "job_id"])
+        out = []
+        for job, step, is_user in rows[["job_id", "step", "is_user"]].itertuples(index=False):
+            if step in ("finished", "failed"):
+                active.discard(int(job))
+            elif step == "created" and int(job) not in active:
+                admitted = len(active) < (user_limit if is_user else guest_limit)
+                active |= {int(job)} if admitted else set()
+                out.append((key[0], int(job), admitted))
+        state.update((sorted(active),))
+        state.setTimeoutTimestamp(max(int(rows.ts.max().timestamp() * 1000) + forget_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["requester", "job_id", "admitted"])
+
+    marked = requests.withWatermark("ts", "10 minutes")
+    return marked.groupBy("requester").applyInPandasWithState(fold, "requester string, job_id long, admitted boolean", "active array<long>", "append", "EventTimeTimeout")
+
+
 def run_once(stream: DataFrame, mode: str, then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """All that a stream has now, as a table: it runs until its source is read, into the shared scratch folder."""
     spark = stream.sparkSession
