@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from marlstone.functions import text as T
+from marlstone.operators import pdftext as X
 
 
 def recurring_keys(lines: DataFrame, share: float = 0.45, least: int = 3, longest: int = 140) -> DataFrame:
@@ -35,15 +37,6 @@ def body_size(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("doc").agg(F.median("font_size").alias("body_size"))
 
 
-def title_block(blocks: DataFrame, sizes: DataFrame, first: int = 20) -> DataFrame:
-    """(doc, title): of the first blocks the one that is large, high and long; ties to the earlier."""
-    delta = F.col("font_size") - F.col("body_size")
-    plausible = F.length("text").between(8, 220) & ~F.col("text").rlike(r"@|https?://|^[\d\s.,-]+$")
-    score = 25 * delta - F.col("y0") / 18 + F.least(F.length("text"), F.lit(160)) / 20 - F.when(F.col("y0") < 80, 35).otherwise(0)
-    able = blocks.join(sizes, "doc").where((F.col("ord") < first) & (delta >= 1.4) & plausible)
-    return able.groupBy("doc").agg(F.max_by("text", F.struct(score.alias("s"), (-F.col("ord")).alias("o"))).alias("title"))
-
-
 def overlapping(blocks: DataFrame, boxes: DataFrame, least: float = 0.35) -> DataFrame:
     """`blocks` (doc, page, x0, y0, x1, y1) of which at least this share of their own area lies in one box of their page."""
     b = boxes.select(F.col("doc").alias("b_doc"), F.col("page").alias("b_page"), *[F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")])
@@ -152,87 +145,37 @@ def is_useful_reconstruction(rows):
 
 # ---- lines of text -------------------------------------------------------------------------------------------------
 
-# Signs that formulas are made of.
-MATH = r"[=+\-*/^_∑∏∫√∞≈≠≤≥±×÷∂∇∈∉⊂⊆∪∩→⇒⇔αβγδεθλμπρσφψωΓΔΘΛΠΣΦΨΩ]"
-
-
-def symbol_density(line):
-    """Mathematical signs over all signs that are not blank."""
-    n = F.length(F.regexp_replace(line, r"\s", ""))
-    return F.when(n > 0, F.regexp_count(line, F.lit(MATH)) / n).otherwise(F.lit(0.0))
-
-
-def is_formula_number(line):
-    return line.rlike(r"^\s*\(\d+[a-z]?\)\s*$")
-
-
-def is_formula(line):
-    return line.rlike(MATH) & (line.rlike(r"\(\d+[a-z]?\)\s*$") | (symbol_density(line) >= 0.08))
-
-
-def is_caption(line):
-    return line.rlike(r"(?i)^\s*(figure|fig\.|table)\s+\d+")
-
-
-def is_bullet(line):
-    return line.rlike(r"^\s*(?:[•‣▪◦●–*-]|[a-z]\))\s+\S")
-
-
-def is_list_line(line):
-    return is_bullet(line) | line.rlike(r"^\s*(?:\d{1,2}[.)]|\(\d{1,2}\))\s+\S")
 
+def line_kinds(line):
+    """The kind of each line by its words alone: `heading`, `caption`, `list`, `formula`, `tail`, `break` or `text`."""
 
-def list_line(line):
-    return F.when(is_bullet(line), F.regexp_replace(line, r"^\s*(?:[•‣▪◦●–*-]|[a-z]\))\s+", "- ")).otherwise(F.regexp_replace(line, r"^\s*\(?(\d{1,2})[.)]\s+", "$1. "))
+    @F.pandas_udf("string")
+    def kinds(lines: pd.Series) -> pd.Series:
+        return lines.map(lambda x: X.kind_of(X.flat(x), X.Block(x or "", page=-1), float("inf"), False))
 
-
-def is_heading(line):
-    """A line that reads as a heading: short, no sentence, and numbered, in capitals, or a chapter."""
-    words = F.size(F.split(F.trim(line), r"\s+"))
-    short = (F.length(F.trim(line)).between(3, 120)) & (words <= 14) & ~line.rlike(r"[.;,:]\s*$")
-    numbered = line.rlike(r"^\s*\d{1,2}(?:\.\d{1,2})*\.?\s+\p{Lu}")
-    chapter = line.rlike(r"^\s*第[一二三四五六七八九十百\d]+[章节]")
-    named = F.lower(F.trim(line)).isin("abstract", "introduction", "conclusion", "conclusions", "references", "acknowledgements", "appendix")
-    capitals = (F.upper(line) == line) & line.rlike(r"\p{Lu}{3}") & (words <= 10)
-    return short & (numbered | chapter | named | capitals)
-
-
-def layout_heading(line, font_size, bold, body):
-    words = F.size(F.split(F.trim(line), r"\s+"))
-    return ((font_size >= body + 1.4) & (words <= 18)) | (bold & (font_size >= body + 0.2) & (words <= 12))
-
-
-def is_noise_line(line, index=None, total=None):
-    """An archive stamp, or a bare page number among the first or last three lines."""
-    number = line.rlike(r"^\s*\d{1,4}\s*$")
-    near = F.lit(False) if index is None else (index < 3) | (index >= total - 3)
-    return line.rlike(r"(?i)^\s*arxiv:\d{4}\.\d{4,5}") | (number & near)
-
-
-def ends_paragraph(line):
-    return line.rlike(r"[.!?。！？:]\s*$") | (line.rlike(r"\)\s*$") & (F.length(line) > 80))
-
-
-def repaired(text):
-    """Words that a line or page end tore apart are whole again; numbered headings have their blank."""
-    return T.replaced(text, (r"(\p{L})-\n+(?:#+ Page \d+\n+)?(\p{Ll})", "$1$2"), (r"(?m)^(\d+\.)(\p{Lu})", "$1 $2"))
+    return kinds(line)
 
 
 def paragraphs_of(lines: DataFrame) -> DataFrame:
     """`lines` (doc, page, ord, text) to paragraphs (doc, page, paragraph, kind, text): a gap-and-island count over each
     page. Headings, captions, list items and formulas stand alone; other lines join until a sentence ends."""
-    from pyspark.sql import Window
+
+    @F.pandas_udf("boolean")
+    def ends(said: pd.Series) -> pd.Series:
+        return said.map(lambda x: X.ends_paragraph(X.flat(x)))
+
+    @F.pandas_udf("string")
+    def mended(said: pd.Series) -> pd.Series:
+        return said.map(X.mended_text)
 
     page = Window.partitionBy("doc", "page").orderBy("ord")
-    line = F.col("text")
-    kind = F.when(is_heading(line), "heading").when(is_caption(line), "caption").when(is_list_line(line), "list").when(is_formula(line), "formula").otherwise("text")
-    typed = lines.where(F.trim("text") != "").withColumn("kind", kind)
-    before, ended = F.lag("kind").over(page), F.lag(ends_paragraph(line)).over(page)
+    typed = lines.where(F.trim("text") != "").withColumns({"kind": line_kinds(F.col("text")), "ends": ends(F.col("text"))}).where("kind <> 'break'")
+    before, ended = F.lag("kind").over(page), F.lag("ends").over(page)
     fresh = F.when((F.col("kind") == "text") & (before == "text") & ~ended, 0).otherwise(1)
     counted = typed.withColumn("fresh", fresh).withColumn("paragraph", F.sum("fresh").over(page.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: F.trim(x["text"])), "\n")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: F.trim(x["text"])), " ")
     whole = counted.groupBy("doc", "page", "paragraph", "kind").agg(joined.alias("raw"))
-    return whole.select("doc", "page", "paragraph", "kind", F.regexp_replace(repaired(F.col("raw")), r"\s*\n\s*", " ").alias("text"))
+    return whole.select("doc", "page", "paragraph", "kind", mended(F.col("raw")).alias("text"))
 
 
 def iso_date(value):
@@ -280,19 +223,9 @@ def form_lines(rows):
     return F.array_join(F.transform(F.array_distinct(F.filter(lines, lambda x: x != "")), lambda x: F.concat(F.lit("- "), x)), "\n")
 
 
-def coordinate_beats_extracted(extracted, coordinate):
-    """Whether cells rebuilt from word positions replace the extracted ones: 5 to 24 columns, more than before, filled
-    to 0.18, with three rows of three cells."""
-    w, n = width(coordinate), F.greatest(F.size(coordinate), F.lit(1))
-    rich = F.size(F.filter(coordinate, lambda r: F.size(F.filter(r, lambda c: c != "")) >= 3))
-    return w.between(5, 24) & (w > width(extracted)) & (filled(coordinate) / F.greatest(n * w, F.lit(1)) >= 0.18) & (rich >= 3)
-
-
 def merged_regions(regions: DataFrame) -> DataFrame:
     """`regions` (doc, page, x0, y0, x1, y1) with adjacent ones united: a gap of -1 to 10 below, widths and overlap alike
     to 0.8. Each region is compared with the one above it on its page."""
-    from pyspark.sql import Window
-
     page = Window.partitionBy("doc", "page").orderBy("y0", "x0")
     before = {c: F.lag(c).over(page) for c in ("x0", "x1", "y1")}
     gap = F.col("y0") - before["y1"]

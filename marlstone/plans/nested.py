@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.operators import extraction as X
 from marlstone.operators import layout as L
-from marlstone.runtime import table, text_batches
+from marlstone.runtime import spread, table, text_batches
 from marlstone.streaming import events as E
 
 
@@ -98,7 +98,7 @@ def pdf_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as pages of lines."""
     from marlstone.functions import text as T
 
-    lines = table(spark, sf, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), F.posexplode(F.split(T.text0(F.col("text")), "\n")).alias("ord", "text"))
+    lines = spread(table(spark, sf, "documents")).select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), F.posexplode(F.split(T.text0(F.col("text")), "\n")).alias("ord", "text"))
     return L.paragraphs_of(lines).groupBy("doc", "page", "kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 

@@ -92,11 +92,30 @@ class Stored:
     def __init__(self, spark: SparkSession, path: str, schema):
         self.spark, self.path = spark, path
         self.df = spark.read.schema(schema).parquet(path)
+        for made in _SCOPES:
+            made.append(self)
 
     def drop(self) -> None:
         drop_path(self.spark, self.path)
 
 
+_SCOPES: list[list[Stored]] = []
+
+
+@contextlib.contextmanager
+def scratch():
+    """The tables that are stored inside, as a list; at the end those that are still in it are dropped. What is to stay is
+    taken out of the list."""
+    made: list[Stored] = []
+    _SCOPES.append(made)
+    try:
+        yield made
+    finally:
+        _SCOPES.pop()
+        for one in made:
+            one.drop()
+
+
 def store(df: DataFrame, name: str) -> Stored:
     """Write `df` as Parquet to the shared scratch folder and read it again. Unlike localCheckpoint the
     copy survives lost executors, and unlike checkpoint() it is columnar and compressed."""

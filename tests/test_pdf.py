@@ -86,8 +86,7 @@ def test_tables_of_pages(spark):
     cells = [["Name", "Sum"], ["oak", "12"], ["red\nelm", "7"]]
     regions = spark.createDataFrame([("d", 1, 0, 0.0, 0.0, 110.0, 60.0, cells), ("d", 2, 0, 0.0, 0.0, 110.0, 60.0, [["only", None], []]), ("d", 3, 0, 0.0, 0.0, 9.0, 9.0, None)], "doc string, page int, ord int, x0 double, y0 double, x1 double, y1 double, rows array<array<string>>").withColumn("kind", F.lit("x"))
     words = spark.createDataFrame([("d", 1, *w) for w in GRID_WORDS] + [("d", 1, 0.0, 0.0, 1.0, 1.0, None), ("e", 1, *GRID_WORDS[0])], "doc string, page int, x0 double, y0 double, x1 double, y1 double, text string")
-    lines = spark.createDataFrame([("d", 1, r.at, r.start, r.at, r.end) if r.way == "v" else ("d", 1, r.start, r.at, r.end, r.at) for r in ruled(*GRID)], "doc string, page int, x0 double, y0 double, x1 double, y1 double")
-    lines = lines.selectExpr("doc", "page", "cast(x0 as double) x0", "cast(y0 as double) y0", "cast(x1 as double) x1", "cast(y1 as double) y1")
+    lines = spark.createDataFrame([("d", 1, *map(float, (r.at, r.start, r.at, r.end) if r.way == "v" else (r.start, r.at, r.end, r.at))) for r in ruled(*GRID)], "doc string, page int, x0 double, y0 double, x1 double, y1 double")
     got = T.page_tables(regions, words, lines).collect()
     assert [(r.doc, r.page, r.kind) for r in got] == [("d", 1, "grid")]
     assert got[0].markdown == "| Name | Sum |\n| --- | --- |\n| oak | 12 |\n| red / elm | 7 |"
@@ -95,7 +94,8 @@ def test_tables_of_pages(spark):
 
 
 def test_a_header_waits_for_its_region():
-    words = [word(x, y, t) for y, row in enumerate((("Kind", "Size", "Age"), ("oak", "12", "80"), ("elm", "9", "40"), ("ash", "7", "35"))) for x, t in zip((0, 60, 120), row) for y in (10 * y,)]
+    said = (("Kind", "Size", "Age"), ("oak", "12", "80"), ("elm", "9", "40"), ("ash", "7", "35"))
+    words = [word(x, 10 * n, t) for n, row in enumerate(said) for x, t in zip((0, 60, 120), row)]
     got = T.tables_of_page([([["Kind", "Size", "Age"]], (0, 0, 150, 9)), ([["oak", "12", "80"], ["elm", "9", "40"], ["ash", "7", "35"]], (0, 10, 150, 40))], words, [])
     assert len(got) == 1 and got[0][2] == (0, 0, 150, 40) and got[0][1].startswith("| Kind | Size | Age |")
 
