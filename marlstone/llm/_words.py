@@ -96,13 +96,50 @@ def groups(texts: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, int, np.n
         row = to
 
 
-def shingles(words: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of the k-word shingles of one document: with fewer words, the whole sequence as one; none without words."""
-    if not len(words):
-        return words
-    width = min(k, len(words))
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[i], starts[i] + 1, ... for lengths[i] numbers each, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def flat_shingles(words: np.ndarray, begin: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k-word shingles of several documents, words[begin[i]:begin[i+1]], and where each one's begin. A document of
+    fewer words has its whole sequence as one; one without words has none."""
+    n = np.diff(begin)
     salt = numbers(97, k + 1)
-    out = np.full(len(words) - width + 1, salt[k] + np.uint64(width), np.uint64)
-    for i in range(width):
-        out += mix64(words[i : i + len(out)] + salt[i])
-    return mix64(out)
+    count = np.where(n > 0, np.maximum(n - k + 1, 1), 0)
+    first = np.concatenate([[0], np.cumsum(count)])
+    out = np.zeros(int(first[-1]), np.uint64)
+    for width in range(1, k + 1):
+        mine = np.flatnonzero(n == width if width < k else n >= k)
+        if len(mine):
+            at = ranges(begin[mine], count[mine])
+            h = np.full(len(at), salt[k] + np.uint64(width), np.uint64)
+            for i in range(width):
+                h += mix64(words[at + i] + salt[i])
+            out[ranges(first[mine], count[mine])] = mix64(h)
+    return out, first
+
+
+def flat_sets(words: np.ndarray, begin: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """As flat_shingles, each document's distinct ones in order."""
+    h, first = flat_shingles(words, begin, k)
+    doc = np.repeat(np.arange(len(begin) - 1), np.diff(first))
+    h = h[np.lexsort((h, doc))]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return h[new], np.searchsorted(doc[new], np.arange(len(begin)))
+
+
+def least_of(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The least of values[first[i]:first[i+1]], none of which is empty."""
+    return np.minimum.reduceat(values, first[:-1]) if len(first) > 1 else values[:0]
+
+
+def fingerprints(sets: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each set, the same whatever its order; an empty one has 0."""
+    out = []
+    for seed in (0, 0x5851F42D4C957F2D):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(sets ^ np.uint64(seed)), dtype=np.uint64)])
+        out.append((sums[first[1:]] - sums[first[:-1]]).astype(np.int64))
+    return out[0], out[1]

@@ -11,30 +11,30 @@ from marlstone.runtime import Stored, store
 def components(links: DataFrame, name: str = "links") -> Stored:
     """`links` (a, b long) to a written table (node, component), the component being the smallest node reachable.
 
-    Large-star and small-star steps in turn until the table no longer changes: each is one grouped minimum, combined
-    before the shuffle, and one join, which Spark splits where a node has very many links; no node's links ever meet in
-    one task as a list. Links of a node with itself, repeated links and nulls say nothing. Nodes without links are not
-    in the result.
+    Large-star and small-star steps in turn until only stars are left: no node with two smaller ones, and no centre with a
+    smaller one. Each takes the least neighbour of every node, combined before the shuffle and written, and joins it back:
+    both sides of the join are plain scans, so Spark can broadcast a small one and split a node with very many links; no
+    node's links ever meet in one task as a list.
+    Links of a node with itself, repeated links and nulls say nothing. Nodes without links are not in the result.
     """
-    edges = store(
-        links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), name
-    )
-    before = None
-    while True:
+    edges = store(links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), name)
+    while not _are_stars(edges.df):
         both = edges.df.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.df.select("lo", "hi"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("hi"), F.col("m").alias("lo"))
+        least = store(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")), name)
+        large = both.where("v > u").join(least.df, F.col("u") == F.col("w")).select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         large = store(large.distinct(), name)
-        low = large.df.groupBy("hi").agg(F.min("lo").alias("m")).withColumnRenamed("hi", "h")
-        small = large.df.join(low, F.col("hi") == F.col("h"))
+        low = store(large.df.groupBy("hi").agg(F.min("lo").alias("m")).withColumnRenamed("hi", "h"), name)
+        small = large.df.join(low.df, F.col("hi") == F.col("h"))
         star = small.select("hi", F.col("m").alias("lo")).union(small.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")))
         after = store(star.distinct(), name)
-        edges.drop()
-        large.drop()
+        for gone in (edges, least, large, low):
+            gone.drop()
         edges = after
-        found = edges.df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("h")).first()
-        if (found.n, found.h) == before:
-            break
-        before = (found.n, found.h)
     edges.df = edges.df.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     return edges
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    ends = edges.select(F.col("hi").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("centre")).union(edges.select("lo", F.lit(0), F.lit(1)))
+    per = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("centre").alias("centre"))
+    return per.agg(F.max((F.col("up") > 1) | (F.col("up") == 1) & (F.col("centre") == 1))).first()[0] is not True

@@ -5,10 +5,13 @@ half from either collection, so 12 + 12 halves of 2 minhashes make 144 tables of
 that share a key are candidates, and full shingle sets decide.
 
 Equal sets are one class from the start, so copies cost nothing later. Of the classes that share a key, all are first
-compared with one leader, and what links becomes one component; that takes most of a large group in two rounds of work
-in proportion to it. What then still lies in different components under one key is compared in blocks of 64 sets, a
-pair of blocks at a time. Every pair that shares a key is so compared or found in one component already: no cap drops
-any, and no pair of documents is ever a row unless it is a leader's.
+compared with one leader, and what links becomes one component. Rounds with new leaders go on, each in proportion to what
+is left, while they settle half of it. What then still lies in different components under one key is compared in
+blocks of 64 sets, a pair of blocks at a time. Every pair that shares a key is so compared or found in one component
+already: no cap drops any, and no pair of documents is ever a row unless it is a leader's.
+
+Shingles are 64-bit hashes, and equal sets are told by their number and 128 bits: two different shingles of one pair of
+documents are taken for one with a chance of (shingles of both)^2 / 2^65, under 1e-8 for documents of 100,000 words.
 """
 
 from __future__ import annotations
@@ -20,15 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm._words import groups, mix64, numbers, shingles, word_hashes
+from marlstone.llm._words import fingerprints, flat_sets, groups, least_of, mix64, numbers, word_hashes
 from marlstone.llm.components import components
-from marlstone.runtime import Stored, batch_rows, store, table, text_batches
+from marlstone.runtime import Stored, batch_rows, store, spread, table, text_batches
 
 SHINGLE = 4
 HALVES = 12
 ROWS = 2
 PERCENT = 80
-STAR_ROUNDS = 2
+#: Leader rounds end when one settles less than this share of the rows that are left.
+SETTLED = 0.5
 BLOCK = 64
 
 
@@ -38,111 +42,113 @@ def miss(similarity: float, halves: int = HALVES, rows: int = ROWS) -> float:
     return 1 - (1 - side) ** 2
 
 
-def sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
-    """The distinct shingle hashes of each text, sorted."""
-    for _, _, data, offsets in groups(texts):
-        words, begin = word_hashes(data, offsets)
-        for i in range(len(offsets) - 1):
-            yield np.unique(shingles(words[begin[i] : begin[i + 1]], k))
-
+def band_keys(sets: np.ndarray, first: np.ndarray, count: int, each: int) -> pa.Array:
+    """For every set sets[first[i]:first[i+1]] its `count` keys of `each` minhashes, or null where it is empty."""
+    n = count * each
+    multiply, add = numbers(31, n), numbers(32, n)
+    full = np.diff(first) > 0
+    starts = np.append(first[:-1][full], len(sets))
+    out = np.empty((int(full.sum()), count), np.int64)
+    for band in range(count):
+        half = np.zeros(len(out), np.uint64)
+        for row in range(each):
+            i = band * each + row
+            half += mix64(least_of(sets * multiply[i] + add[i], starts) + numbers(34, each)[row])
+        out[:, band] = mix64(half ^ numbers(33, count)[band]).astype(np.int64)
+    offsets = np.concatenate([[0], np.cumsum(full * count)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()), mask=pa.array(~full))
 
-def _fingerprint(own: np.ndarray) -> tuple[int, int]:
-    """128 bits of a set, the same whatever its order."""
-    return int(mix64(own).sum(dtype=np.uint64).astype(np.int64)), int(mix64(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64))
 
-
-def signatures(docs: DataFrame, k: int = SHINGLE, halves: int = HALVES, rows: int = ROWS, bands: tuple[int, int] | None = None) -> DataFrame:
-    """doc_id, n_shingles, set_a, set_b (a fingerprint of the set) and its keys: 2 x halves half keys of `rows` minhashes,
-    or with `bands` (bands, rows) plain keys. An empty set has none."""
-    count, each = bands or (2 * halves, rows)
+def signatures(docs: DataFrame, k: int = SHINGLE, halves: int = HALVES, rows: int = ROWS) -> DataFrame:
+    """doc_id, n_shingles, set_a, set_b (a fingerprint of the set) and its 2 x halves half keys of `rows` minhashes. An
+    empty set has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = count * each
-        multiply, add = numbers(31, n), numbers(32, n)
-        salt = numbers(33, count)
         for batch in batches:
-            size, first, second, keys = [], [], [], []
-            for own in sets(batch.column(1), k):
-                a, b = _fingerprint(own)
-                size.append(len(own))
-                first.append(a)
-                second.append(b)
-                if not len(own):
-                    keys.append(None)
-                    continue
-                least = np.empty(n, np.uint64)
-                for i in range(n):
-                    least[i] = (own * multiply[i] + add[i]).min()
-                half = mix64(least.reshape(count, each) + numbers(34, each)).sum(axis=1, dtype=np.uint64)
-                keys.append(mix64(half ^ salt).astype(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "halves"],
-            )
+            for row, to, data, offsets in groups(batch.column(1)):
+                own, first = flat_sets(*word_hashes(data, offsets), k)
+                a, b = fingerprints(own, first)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(row, to - row), pa.array(np.diff(first)), pa.array(a), pa.array(b), band_keys(own, first, 2 * halves, rows)],
+                    names=["doc_id", "n_shingles", "set_a", "set_b", "halves"],
+                )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, halves array<long>")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of `pairs` (a, b) the linked ones. `texts` holds (rep, text, set_a, set_b) of every class; a text that is not of
-    its class, where ids repeat, is passed over."""
-    side = lambda x: texts.select(F.col("rep").alias(x), F.col("text").alias(f"text_{x}"), F.col("set_a").alias(f"set_{x}"))
+def sets_of(texts: DataFrame, k: int) -> DataFrame:
+    """(rep, own) of `texts` (rep, text, set_a): the set of each as sorted 64-bit shingles. Where ids repeat, a text whose
+    set is not the one that set_a marks is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own_a = (None, None), None
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            mark_a, mark_b = batch.column(4).to_pylist(), batch.column(5).to_pylist()
-            found = []
-            for i, own_b in enumerate(sets(batch.column(3), k)):
-                if (a[i], mark_a[i]) != last:
-                    own_a = next(sets(batch.column(2).slice(i, 1), k))
-                    last = (a[i], mark_a[i])
-                    right_a = _fingerprint(own_a)[0] == mark_a[i]
-                if not right_a or _fingerprint(own_b)[0] != mark_b[i]:
-                    last = (None, None) if not right_a else last
-                    continue
-                both = len(np.intersect1d(own_a, own_b, assume_unique=True))
-                if 100 * both >= percent * (len(own_a) + len(own_b) - both):
-                    found.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in found], pa.int64()), pa.array([b[i] for i in found], pa.int64())], names=["a", "b"])
-
-    joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b", "set_a", "set_b")
-    return joined.mapInArrow(run, "a long, b long")
+            for row, to, data, offsets in groups(batch.column(1)):
+                own, first = flat_sets(*word_hashes(data, offsets), k)
+                right = np.flatnonzero(fingerprints(own, first)[0] == batch.column(2).slice(row, to - row).to_numpy())
+                yield set_rows(batch.column(0).slice(row, to - row).take(pa.array(right)), own, first, right)
 
+    return texts.select("rep", "text", "set_a").mapInArrow(run, "rep long, own binary")
 
-def _with_labels(members: DataFrame, labels: Stored | None) -> DataFrame:
-    if labels is None:
-        return members.withColumn("label", F.col("rep"))
-    return members.join(labels.df, F.col("rep") == F.col("node"), "left").select(*members.columns, F.coalesce("component", "rep").alias("label"))
 
+def set_rows(reps: pa.Array, own: np.ndarray, first: np.ndarray, which: np.ndarray) -> pa.RecordBatch:
+    """Rows (rep, own) of the sets numbered `which` in own[first[i]:first[i+1]]."""
+    return pa.RecordBatch.from_arrays([reps, pa.array([own[first[i] : first[i + 1]].tobytes() for i in which], pa.binary())], names=["rep", "own"])
 
-def _packed(k: int):
-    """Runs of sorted rows (rep, label, text, set_a) to blocks of BLOCK sets."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+def _flat_binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of a column one after the other, and the size of each."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // 8
+    return np.frombuffer(column.buffers()[2], np.uint64)[ends[0] : ends[-1]] if len(column) else np.zeros(0, np.uint64), np.diff(ends)
 
-        block, keep = TaskContext.get().partitionId() << 32, []
 
-        def out():
-            return pa.RecordBatch.from_arrays(
-                [pa.array([block]), *(pa.array([[x[i] for x in keep]], pa.list_(pa.int64())) for i in range(2)), pa.array([[x[2].tobytes() for x in keep]], pa.list_(pa.binary()))],
-                names=["block", "reps", "labels", "sets"],
-            )
+def verify(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """Of `pairs` (a, b, la, lb) the labels (la, lb) of the linked ones as (a, b). `own` holds (rep, own) of every class."""
+    side = lambda x: own.select(F.col("rep").alias(x), F.col("own").alias(f"own_{x}"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rep, lab, mark, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), sets(batch.column(2), k)):
-                if _fingerprint(own)[0] != mark:  # a text of another class, where ids repeat
-                    continue
-                keep.append((rep, lab, own))
-                if len(keep) == BLOCK:
-                    yield out()
-                    block, keep = block + 1, []
-        if keep:
-            yield out()
+            (a, size_a), (b, size_b) = _flat_binary(batch.column(0)), _flat_binary(batch.column(1))
+            # A shingle is told by its pair too, so one test for all pairs says which they share.
+            mark = mix64(np.arange(1, batch.num_rows + 1, dtype=np.uint64))
+            pair = np.repeat(np.arange(batch.num_rows), size_a)
+            shared = np.isin(mix64(a ^ mark[pair]), mix64(b ^ np.repeat(mark, size_b)))
+            both = np.bincount(pair[shared], minlength=batch.num_rows)
+            found = pa.array(np.flatnonzero(100 * both >= percent * (size_a + size_b - both)))
+            yield pa.RecordBatch.from_arrays([batch.column(2).take(found), batch.column(3).take(found)], names=["a", "b"])
+
+    joined = pairs.join(side("b"), "b").join(side("a"), "a").select("own_a", "own_b", "la", "lb")
+    return joined.mapInArrow(run, "a long, b long")
 
-    return run
+
+def relabelled(members: DataFrame, changes: list[Stored], name: str = "label") -> DataFrame:
+    """`members` with the labels in column `name` taken through the changes (node, component), one after the other."""
+    columns = members.columns
+    for change in changes:
+        new = change.df.select(F.col("node").alias("c_node"), F.col("component").alias("c_component"))
+        members = members.join(new, F.col(name) == F.col("c_node"), "left").select(*[F.coalesce("c_component", c).alias(c) if c == name else c for c in columns])
+    return members
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of sorted rows (rep, label, own) to blocks of BLOCK sets."""
+    from pyspark import TaskContext
+
+    block, keep = TaskContext.get().partitionId() << 32, []
+
+    def out():
+        return pa.RecordBatch.from_arrays(
+            [pa.array([block]), *(pa.array([[x[i] for x in keep]], pa.list_(pa.int64())) for i in (0, 1)), pa.array([[x[2] for x in keep]], pa.list_(pa.binary()))],
+            names=["block", "reps", "labels", "sets"],
+        )
+
+    for batch in batches:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            keep.append(row)
+            if len(keep) == BLOCK:
+                yield out()
+                block, keep = block + 1, []
+    if keep:
+        yield out()
 
 
 def _rows_over(part: np.ndarray, own: list[np.ndarray]) -> np.ndarray:
@@ -156,17 +162,17 @@ def _rows_over(part: np.ndarray, own: list[np.ndarray]) -> np.ndarray:
 
 
 def _compare(percent: int):
-    """Links between the sets of two blocks whose labels differ."""
+    """The differing labels of linked sets of two blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
             for row in range(batch.num_rows):
                 sides = []
-                for at in (0, 3):
-                    own = [np.frombuffer(x, np.uint64) for x in batch.column(at + 2)[row].as_py()]
-                    sides.append((np.array(batch.column(at)[row].as_py()), np.array(batch.column(at + 1)[row].as_py()), own, np.array([len(x) for x in own])))
-                (r1, l1, s1, n1), (r2, l2, s2, n2) = sides
+                for at in (0, 2):
+                    own = [np.frombuffer(x, np.uint64) for x in batch.column(at + 1)[row].as_py()]
+                    sides.append((np.array(batch.column(at)[row].as_py()), own, np.array([len(x) for x in own])))
+                (l1, s1, n1), (l2, s2, n2) = sides
                 # the sets as 0/1 rows over the shingles that both blocks have, a product of which counts what pairs share
                 common = np.intersect1d(np.concatenate(s1), np.concatenate(s2))
                 both = np.zeros((len(s1), len(s2)), np.float32)
@@ -175,113 +181,118 @@ def _compare(percent: int):
                     both += _rows_over(part, s1) @ _rows_over(part, s2).T
                 linked = (100 * both >= percent * (n1[:, None] + n2[None, :] - both)) & (l1[:, None] != l2[None, :])
                 i, j = np.nonzero(linked)
-                a += r1[i].tolist()
-                b += r2[j].tolist()
+                linked = np.unique(np.stack([l1[i], l2[j]]), axis=1)
+                a += linked[0].tolist()
+                b += linked[1].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _in_blocks(rest: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def _in_blocks(rest: DataFrame, own: DataFrame, percent: int) -> Stored:
     """Links between classes of `rest` (key, rep, label) that share a key and differ in label."""
     spark = rest.sparkSession
     # Neighbours under a key lie near each other when sorted by the least label they meet there.
     meets = rest.groupBy("key").agg(F.min("label").alias("meet"))
     placed = rest.join(meets, "key").groupBy("rep", "label").agg(F.min("meet").alias("meet"))
-    rows = placed.join(texts.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).select("rep", "label", "text", "set_a", "meet")
+    rows = placed.join(own.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).select("rep", "label", "own", "meet")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, "meet", "label", "rep").sortWithinPartitions("meet", "label", "rep")
-    blocks = store(ordered.select("rep", "label", "text", "set_a").mapInArrow(_packed(k), "block long, reps array<long>, labels array<long>, sets array<binary>"), "near-blocks")
+    blocks = store(ordered.select("rep", "label", "own").mapInArrow(_packed, "block long, reps array<long>, labels array<long>, sets array<binary>"), "near-blocks")
     home = blocks.df.select("block", F.explode("reps").alias("rep"))
     # All keys that meet in a label are taken together: in the sort they are one run of blocks.
-    met = rest.select("key", "rep").join(home, "rep").join(meets, "key").groupBy("meet").agg(F.array_sort(F.collect_set("block")).alias("own"))
-    tiles = met.select("own", F.explode("own").alias("one")).select("one", F.explode(F.filter("own", lambda x: x >= F.col("one"))).alias("two")).distinct()
+    met = store(rest.select("key", "rep").join(home, "rep").join(meets, "key").select("meet", "block").distinct(), "near-tiles")
+    one, two = (met.df.select(F.col("meet").alias(f"meet_{n}"), F.col("block").alias(n)) for n in ("one", "two"))
+    tiles = one.join(two, (F.col("meet_one") == F.col("meet_two")) & (F.col("one") <= F.col("two"))).select("one", "two").distinct()
     side = lambda n: blocks.df.select(*[F.col(c).alias(f"{c}_{n}") for c in blocks.df.columns])
     apart = ~((F.size(F.array_distinct(F.concat("labels_1", "labels_2")))) == 1)
     pairs = tiles.join(side(1), F.col("one") == F.col("block_1")).join(side(2), F.col("two") == F.col("block_2")).where(apart)
     with batch_rows(spark, 8):
-        found = store(pairs.select("reps_1", "labels_1", "sets_1", "reps_2", "labels_2", "sets_2").mapInArrow(_compare(percent), "a long, b long"), "near-links")
+        found = store(pairs.select("labels_1", "sets_1", "labels_2", "sets_2").mapInArrow(_compare(percent), "a long, b long"), "near-links")
     blocks.drop()
+    met.drop()
     return found
 
 
-def near_duplicates(
-    docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, halves: int = HALVES, rows: int = ROWS, bands: tuple[int, int] | None = None, least: int = 1, keep_single: bool = True
-) -> DataFrame:
+def live_keys(each: DataFrame) -> DataFrame:
+    """Of `each` (rep, n_shingles, key) the rows whose key several have; of keys with the same members one is enough."""
+    shared = each.groupBy("key").agg(F.count("*").alias("c"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s"), F.min("rep").alias("low")).where("c > 1")
+    unique = shared.groupBy("c", "s", "low").agg(F.min("key").alias("key")).select("key")
+    return each.join(unique, "key").select("rep", "n_shingles", "key")
+
+
+def linked(members: DataFrame, own: DataFrame, percent: int) -> list[Stored]:
+    """Changes (node, component) that take each rep, as its own label, to its component, one after the other.
+
+    `members` (rep, n_shingles, key) are candidates where they share a key; their sets, `own` (rep, own), decide.
+    """
+    spark = members.sparkSession
+    changes: list[Stored] = []
+    close = lambda a, b: F.col(a) * 100 >= F.col(b) * percent
+    open_keys = lambda df: df.join(df.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"), "key")
+    rest = store(open_keys(members.withColumn("label", F.col("rep"))), "near-rest")
+    left, turn, in_blocks = rest.df.count(), 0, False
+    while left:
+        if not in_blocks:
+            leader = rest.df.groupBy("key").agg(F.min_by(F.struct("rep", "label", "n_shingles"), F.xxhash64("rep", F.lit(turn))).alias("x"))
+            pairs = rest.df.join(leader, "key").select(
+                F.col("x.rep").alias("a"), F.col("x.label").alias("la"), F.col("x.n_shingles").alias("na"), F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("n_shingles").alias("nb")
+            )
+            pairs = pairs.where(F.col("la") != F.col("lb")).where(close("na", "nb") & close("nb", "na")).select("a", "b", "la", "lb").distinct()
+            with batch_rows(spark, 512):
+                links = store(verify(pairs, own, percent), "near-links")
+        else:
+            links = _in_blocks(rest.df.select("key", "rep", "label"), own, percent)
+        changes.append(components(links.df, "near-components"))
+        links.drop()
+        if in_blocks:
+            rest.drop()
+            break
+        moved = store(relabelled(rest.df, changes[-1:]), "near-moved")
+        rest.drop()
+        rest = store(open_keys(moved.df), "near-rest")
+        moved.drop()
+        now, turn = rest.df.count(), turn + 1
+        left, in_blocks = now, now > (1 - SETTLED) * left
+    else:
+        rest.drop()
+    return changes
+
+
+def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, halves: int = HALVES, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of `docs` (doc_id, text).
 
     Words are runs of anything but ASCII white space, with A-Z lowered. Documents whose sets of distinct k-word shingles
     have `percent` hundredths of their union in common are linked; component_id is the smallest doc_id reachable, and
     kept says that it is the row's own. A text of fewer than k words is one shingle; null, empty and wordless texts have
     none and are linked with nothing. Repeated rows are copies; rows that repeat an id share its component. A row whose
-    doc_id is null takes no part: its component is null and it is kept. Other columns are not read.
-
-    With `bands` plain banding takes the tensored keys' place; sets of fewer than `least` shingles link with nothing;
-    without `keep_single` only rows that share a component with another row are returned.
+    doc_id is null takes no part: its component is null and it is kept. An empty table gives no rows. Other columns are
+    not read.
     """
-    spark = docs.sparkSession
-    text_batches(spark)
-    known = store(signatures(docs, k, halves, rows, bands).where(F.col("n_shingles") >= (0 if keep_single else least)), "near-signatures")
+    text_batches(docs.sparkSession)
+    known = store(signatures(docs, k, halves, rows), "near-signatures")
     same = ("n_shingles", "set_a", "set_b")
-    classes = store(
-        known.df.where((F.col("n_shingles") >= max(1, least)) & F.col("doc_id").isNotNull()).groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("halves").alias("halves"), F.count("*").alias("copies")), "near-classes"
-    )
+    classes = store(known.df.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("halves").alias("halves")), "near-classes")
     each = classes.df.select("rep", "n_shingles", F.posexplode("halves").alias("at", "half"))
     live = each.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
-    lived = each.join(live, "half")
-    if bands:
-        keyed = store(lived.select("rep", "n_shingles", F.col("half").alias("key")), "near-keys")
-    else:
-        # Halves that two classes share at least, then pairs of such halves.
-        lived = lived.groupBy("rep", "n_shingles").agg(
-            F.collect_list(F.when(F.col("at") < halves, F.col("half"))).alias("left"), F.collect_list(F.when(F.col("at") >= halves, F.col("half"))).alias("right")
-        )
-        pairs = lived.where("size(left) > 0 and size(right) > 0").select("rep", "n_shingles", F.explode("left").alias("l"), "right").select("rep", "n_shingles", "l", F.explode("right").alias("r"))
-        keyed = store(pairs.select("rep", "n_shingles", F.xxhash64("l", "r").alias("key")), "near-keys")
-    # Keys with the same members are one.
-    shared = keyed.df.groupBy("key").agg(F.count("*").alias("c"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s"), F.min("rep").alias("low")).where("c > 1")
-    unique = shared.groupBy("c", "s", "low").agg(F.min("key").alias("key")).select("key")
-    members = store(keyed.df.join(unique, "key"), "near-members")
+    # Halves that two classes share at least, then pairs of such halves.
+    lived = each.join(live, "half").groupBy("rep", "n_shingles").agg(
+        F.collect_list(F.when(F.col("at") < halves, F.col("half"))).alias("left"), F.collect_list(F.when(F.col("at") >= halves, F.col("half"))).alias("right")
+    )
+    pairs = lived.where("size(left) > 0 and size(right) > 0").select("rep", "n_shingles", F.explode("left").alias("l"), "right").select("rep", "n_shingles", "l", F.explode("right").alias("r"))
+    keyed = store(pairs.select("rep", "n_shingles", F.xxhash64("l", "r").alias("key")), "near-keys")
+    members = store(live_keys(keyed.df), "near-members")
     keyed.drop()
     active = members.df.select("rep").distinct().join(classes.df.select("rep", "set_a", "set_b"), "rep")
-    texts = store(docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(active, "rep"), "near-texts")
-    links, labels = None, None
-    close = lambda a, b: F.col(a) * 100 >= F.col(b) * percent
-    for turn in range(STAR_ROUNDS + 1):
-        now = store(_with_labels(members.df, labels), "near-labelled")
-        mixed = now.df.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-        rest = store(now.df.join(mixed, "key"), "near-rest")
-        now.drop()
-        if rest.df.isEmpty():
-            rest.drop()
-            break
-        if turn < STAR_ROUNDS:
-            leader = rest.df.groupBy("key").agg(F.min_by(F.struct("rep", "label", "n_shingles"), F.xxhash64("rep", F.lit(turn))).alias("x"))
-            pairs = rest.df.join(leader, "key").select(
-                F.col("x.rep").alias("a"), F.col("x.label").alias("la"), F.col("x.n_shingles").alias("na"), F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("n_shingles").alias("nb")
-            )
-            pairs = pairs.where(F.col("la") != F.col("lb")).where(close("na", "nb") & close("nb", "na")).select("a", "b").distinct()
-            with batch_rows(spark, 256):
-                new = store(verify(pairs, texts.df, k, percent), "near-links")
-        else:
-            new = _in_blocks(rest.df.select("key", "rep", "label"), texts.df, k, percent)
-        rest.drop()
-        old = links
-        links = new if old is None else store(old.df.union(new.df), "near-links")
-        for gone in (old, new) if old is not None else ():
-            gone.drop()
-        if labels is not None:
-            labels.drop()
-        labels = components(links.df, "near-components")
-    texts.drop()
+    own = store(sets_of(docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(active, "rep"), k), "near-sets")
+    changes = linked(members.df, own.df, percent)
     members.drop()
-    of_class = _with_labels(classes.df.select(*same, "rep", "copies"), labels).select(*[F.col(c).alias(f"c_{c}") for c in same], "copies", F.col("label").alias("component"))
-    if not keep_single:
-        several = of_class.groupBy(F.col("component").alias("several")).agg(F.sum("copies").alias("rows")).where("rows > 1")
-        of_class = of_class.join(several, F.col("component") == F.col("several"), "left_semi")
+    own.drop()
+    of_class = relabelled(classes.df.select(*same, F.col("rep").alias("component")), changes, "component").select(*[F.col(c).alias(f"c_{c}") for c in same], "component")
+    component = F.coalesce("component", "doc_id")
     on = [F.col(c) == F.col(f"c_{c}") for c in same]
-    return known.df.join(of_class, on[0] & on[1] & on[2] & F.col("doc_id").isNotNull(), "left" if keep_single else "inner").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept")
+    return known.df.join(of_class, on[0] & on[1] & on[2] & F.col("doc_id").isNotNull(), "left").select(
+        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")
     )
 
 
@@ -292,4 +303,4 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(spread(table(spark, sf_dir, "documents")))
