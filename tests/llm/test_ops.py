@@ -343,6 +343,11 @@ def test_pipeline(spark, sf_dir, tmp_path):
     import public_tokenizers
 
     one = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(bpe.default_vocabulary()), special_tokens={})
+    expected = sorted((r.doc_id, one.encode_ordinary(r.text), hashlib.sha256(r.text.encode()).hexdigest()) for r in kept.collect())
+    got = p.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.ids, r.decoded_sha256) for r in got) == expected
+
+
 def test_every_unit_of_chained_passages_stays(spark):
     rng = random.Random(0)
     a, both, b = sentence(rng, 60), sentence(rng, 28), sentence(rng, 60)
@@ -354,18 +359,14 @@ def test_every_unit_of_chained_passages_stays(spark):
         assert all(x[1] <= y[0] for x, y in zip(rows, rows[1:]))
         gone = {k for s, e, off in rows if off for k in range(s, e)}
         left[i], marked[i] = " ".join(w if k not in gone else "|" for k, w in enumerate(t.split())), len(gone)
-    units = [" ".join(t.split()[k : k + 30]) for t in texts.values() for k in passages.units(words_as_hashes(t))[0]]
+    units = [" ".join(t.split()[k : k + 30]) for t in texts.values() for k in starts_of(t)]
     shared = {u for u in units if units.count(u) > 1}
     assert len(shared) >= 4 and all(any(u in x for x in left.values()) for u in shared)
     assert len({r.cluster_id for r in got}) == 1 and all(r.removed == (r.doc_id != r.first_doc) for r in got)
     assert marked[1] == 0 and marked[2] >= 30 and marked[3] >= 30
 
 
-def words_as_hashes(text):
+def starts_of(text):
     data = np.frombuffer(text.encode(), np.uint8)
-    return word_hashes(data, np.array([0, len(data)]))[0]
-
-
-    expected = sorted((r.doc_id, one.encode_ordinary(r.text), hashlib.sha256(r.text.encode()).hexdigest()) for r in kept.collect())
-    got = p.run(spark, str(tmp_path)).collect()
-    assert sorted((r.doc_id, r.ids, r.decoded_sha256) for r in got) == expected
+    found = passages.windows_of(*word_hashes(data, np.array([0, len(data)])), passages.MIN_WORDS, passages.ANCHOR_WINDOW, passages.WINDOW_BANDS)
+    return sorted({int(k) for _, at, _, _ in found for k in at})
