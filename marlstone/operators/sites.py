@@ -17,6 +17,8 @@ from pyspark.sql.functions import udtf
 
 from marlstone.sources.html import Node, _join, cleaned, flat, image_source, markdown, metadata, parse, table
 
+# Hosts, paths, class names and scripts' names in this file are the sites' own; so are the numbers that say how
+# sure an extraction is and how many of a kind are kept.
 MOST_TAGS, MOST_CARDS, MOST_COMMITS, MOST_IMAGES = 20, 50, 20, 20
 # Statistics of a video, as its page's state names them.
 VIDEO_STATS = ("view", "danmaku", "reply", "like", "coin", "favorite", "share")
