@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: A piece of text that is hashed at once; a longer document is hashed in pieces cut between words.
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

@@ -1,6 +1,6 @@
 """Byte-level BPE over a corpus: every distinct pre-token is encoded once.
 
-1. Each task cuts its documents into pre-tokens and numbers the distinct ones of a block (some 32 million
+1. Each task cuts its documents into pre-tokens and numbers the distinct ones of a block (some 16 million
    characters), frequent ones first. A document is kept as its sequence of numbers, which is its pre-tokens with
    positions.
 2. The words are dealt over the cluster by their hash. A block sends each of its words once, so a frequent word is no
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from marlstone.runtime import store_bucketed, spread, table, text_batches
 
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 16_000_000
 #: Characters for which one more bucket of words is made: a bucket has far fewer distinct words.
 BUCKET_CHARS = 16_000_000
 #: Pre-tokens packed together.
@@ -172,6 +172,7 @@ def _blocks(pattern: str, block_chars: int, buckets: int):
                 data.append(_squeeze(struct.pack("<I", len(own)) + np.array([len(w) for w in own], dtype="<u4").tobytes() + b"".join(own)))
             if data:
                 yield _rows("words", block, bucket=found.astype(np.int32), data=data)
+            del words, data
             yield _rows("order", block, data=[_pack(rank[order])])
             at, place = 0, 0
             while at < len(docs):

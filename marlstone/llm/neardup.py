@@ -239,7 +239,7 @@ def linked(members: DataFrame, own: DataFrame, percent: int) -> list[Stored]:
                 F.col("x.rep").alias("a"), F.col("x.label").alias("la"), F.col("x.n_shingles").alias("na"), F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("n_shingles").alias("nb")
             )
             pairs = pairs.where(F.col("la") != F.col("lb")).where(close("na", "nb") & close("nb", "na")).select("a", "b", "la", "lb").distinct()
-            with batch_rows(spark, 512):
+            with batch_rows(spark, 128):
                 links = store(verify(pairs, own, percent), "near-links")
         else:
             links = _in_blocks(rest.df.select("key", "rep", "label"), own, percent)
