@@ -329,6 +329,26 @@ def test_words_over_many_buckets(spark):
     assert {r.doc_id: r.ids for r in bpe.encode(df, block_chars=700, bucket_chars=50).collect()} == plain
 
 
+def test_mixing_targets_of_many_sources(spark):
+    """Several sources above the water level, against rounds of resharing."""
+    for sizes in ([100, 100, 100], [0, 7, 7000, 90, 4000, 1, 300, 300], [3000 + 37 * i for i in range(20)], [5], [0, 0]):
+        names = [f"s{i:02}" for i in range(len(sizes) - 1)] + [None]
+        weights, capped, budget = [mixing.WEIGHTS[i % 3] for i in range(len(sizes))], {}, 1.5 * sum(sizes)
+        while True:
+            free = [i for i in range(len(sizes)) if i not in capped]
+            dealt = {i: (budget - sum(capped.values())) * weights[i] / sum(weights[j] for j in free) for i in free}
+            over = {i: 2.0 * sizes[i] for i, t in dealt.items() if t > 2 * sizes[i]}
+            if not over:
+                break
+            capped |= over
+        got = mixing.source_targets(spark.createDataFrame(list(zip(names, sizes)), "source string, source_size long")).collect()
+        assert {r.source: r.target for r in got} == pytest.approx({n: (capped | dealt)[i] for i, n in enumerate(names)})
+    rows = [(100 * k + i, " ".join(["word"] * (5 + k)), f"s{k}") for k in range(6) for i in range(20)]
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert all(0 <= r.taken <= 2 * r["size"] for r in mixed)
+    assert sum(r.taken for r in mixed) == pytest.approx(1.5 * sum(r["size"] for r in mixed), abs=6)
+
+
 def test_mixing_rows_that_share_ids(spark):
     rng = random.Random(6)
     rows = [(None, sentence(rng, 20 + i % 7), "a") for i in range(40)] + [(5, sentence(rng, 20), "b") for _ in range(30)] + [(6, "same words here", s) for s in ("a", "b", None) for _ in range(5)]
