@@ -114,11 +114,12 @@ def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as the log of a job for each user, whose steps go by the event's number; the last row of a job holds."""
+    """Events as the log of a job for each user, whose steps go by the event's number, which also decides between events of one
+    time; the last row of a job holds."""
     steps = F.array(*[F.lit(s) for s in E.STEPS])
-    log = E.read_events(spark, f"{sf}/events.parquet").select(F.col("user_id").alias("job_id"), F.element_at(steps, F.when(F.col("event_id") % 997 == 0, 5).otherwise(F.col("event_id") % 4 + 1).cast("int")).alias("step"), "ts")
+    log = E.read_events(spark, f"{sf}/events.parquet").select(F.col("user_id").alias("job_id"), F.element_at(steps, F.when(F.col("event_id") % 997 == 0, 5).otherwise(F.col("event_id") % 4 + 1).cast("int")).alias("step"), "ts", "event_id")
     last = lambda rows: rows.groupBy("job_id").agg(F.max("n").alias("n"), F.max_by("status", "n").alias("status"))
-    return E.run_once(E.lifecycle(log, None), "update", last).select("job_id", "n", "status")
+    return E.run_once(E.lifecycle(log, None, tie="event_id"), "update", last).select("job_id", "n", "status")
 
 
 _LIFECYCLE_SQL = """WITH s AS (SELECT user_id AS job_id, event_id, ts, event_id % 997 = 0 AS done FROM events), f AS (SELECT job_id, bool_or(done) AS done, count(*) AS n, max_by(event_id % 4 + 1, (ts, event_id)) AS last FROM s GROUP BY job_id)

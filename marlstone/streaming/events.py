@@ -44,40 +44,54 @@ def unique(events: DataFrame, late: str = "2 hours") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]) if events.isStreaming else events.dropDuplicates(["event_id"])
 
 
-STATE = "status string, progress int, n long, at timestamp"
+STATE = "status string, progress int, n long, at timestamp, moved timestamp, tie long"
 # What an event makes of a job, and how far it then is.
 STEPS = {"created": ("pending", 0), "started": ("processing", 5), "converted": ("processing", 70), "scored": ("processing", 85), "finished": ("succeeded", 100), "failed": ("failed", 100)}
 
 
-def lifecycle(log: DataFrame, timeout: str | None = "60 minutes", keep: str = "7 days") -> DataFrame:
-    """The status of jobs from their log (job_id, step, ts), kept as state: an event moves a job on, a finished one stays
-    as it is, and a job that is silent for `timeout` of event time fails. What has finished or failed is remembered for
-    `keep` of event time, so that late events do not begin it anew, and then forgotten."""
+def lifecycle(log: DataFrame, timeout: str | None = "60 minutes", keep: str = "7 days", tie: str | None = None) -> DataFrame:
+    """The status of jobs from their log (job_id, step, ts), kept as state: the latest event decides, in whatever order they
+    come, a finished job stays as it is, and one that is silent for `timeout` of event time fails. Of events at the same
+    time the one with the largest `tie`, a column of whole numbers, is the latest, or without it the one whose step is
+    farthest on; those without a time come last. What has finished or failed is remembered for `keep` of event time, so that
+    late events do not begin it anew, and then forgotten."""
     wait_ms = int(pd.Timedelta(timeout).total_seconds() * 1000) if timeout else None
     keep_ms = int(pd.Timedelta(keep).total_seconds() * 1000)
 
+    places = {step: k for k, step in enumerate(STEPS)}
+    never, first, final = pd.Timestamp(0), pd.Timestamp(1700, 1, 1), pd.Timestamp(2200, 1, 1)
+
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        status, progress, n, at = state.get if state.exists else ("pending", 0, 0, pd.Timestamp(0))
+        status, progress, n, at, *moved = state.get if state.exists else ("pending", 0, 0, never, first, -(1 << 63))
         if state.hasTimedOut:
             if status not in ("pending", "processing"):
                 state.remove()
                 return
             status, progress = "failed", 100
-            state.update((status, progress, n, at))
+            state.update((status, progress, n, at, *moved))
             state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + keep_ms)
         else:
+            at, moved, end, latest = pd.Timestamp(at), (pd.Timestamp(moved[0]), moved[1]), None, None
+            # neither the pieces of a batch nor the rows of a piece have an order
             for rows in batches:
-                for step, ts in rows.sort_values("ts")[["step", "ts"]].itertuples(index=False):
-                    n, at = n + 1, max(at, ts)
-                    if status not in ("succeeded", "failed") and step in STEPS:
-                        status, progress = STEPS[step]
-            state.update((status, progress, n, at.to_pydatetime()))
+                for step, ts, number in rows[["step", "ts", "tie"]].itertuples(index=False):
+                    n, at = n + 1, at if pd.isna(ts) else max(at, ts)
+                    if step not in STEPS:
+                        continue
+                    here = (final if pd.isna(ts) else ts, places[step] if pd.isna(number) else int(number))
+                    if STEPS[step][0] in ("succeeded", "failed"):
+                        end = min(end or (here, step), (here, step))
+                    elif here >= moved:
+                        moved, latest = here, step
+            if status not in ("succeeded", "failed") and (end or latest):
+                status, progress = STEPS[end[1] if end else latest]
+            state.update((status, progress, n, at.to_pydatetime(), moved[0].to_pydatetime(), moved[1]))
             if wait_ms:
                 wait = keep_ms if status in ("succeeded", "failed") else wait_ms
                 state.setTimeoutTimestamp(max(int(at.timestamp() * 1000) + wait, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"job_id": [key[0]], "status": [status], "progress": [progress], "n": [n]})
 
-    marked = log.withWatermark("ts", "10 minutes")
+    marked = log.select("job_id", "step", "ts", (F.col(tie) if tie else F.lit(None)).cast("long").alias("tie")).withWatermark("ts", "10 minutes")
     return marked.groupBy("job_id").applyInPandasWithState(fold, "job_id long, status string, progress int, n long", STATE, "update", "EventTimeTimeout" if timeout else "NoTimeout")
 
 

@@ -34,6 +34,20 @@ def test_sliding_windows_leave_late_rows_out(spark, tmp_path):
     assert got == {at(-30): 1.0, at(0): 1.0, at(30): 2.0, at(60): 2.0, at(360): 4.0, at(390): 4.0}
 
 
+def test_latest_event_decides_in_any_order(spark, tmp_path):
+    schema = "job_id long, step string, ts timestamp, event_id long"
+    rows = [
+        [(1, "scored", at(50), 1), (2, "started", at(5), 9), (2, "created", at(5), 2), (3, "converted", at(5), 1), (4, "started", at(9), 1), (5, "started", at(0), 1)],
+        [(1, "created", at(10), 2), (2, "scored", at(5), 3), (3, "created", at(5), 2), (4, "finished", at(1), 2), (5, "created", None, 2), (5, "scored", at(90), 3)],
+        [(1, "started", at(1), 3), (2, "created", at(4), 99), (4, "created", at(99), 3)],
+    ]
+    # and one job whose rows fill several pieces of a batch, the latest first
+    long = [(6, "created" if i == 3 else "started", at(1000 - abs(i - 3)), i) for i in range(4)] + [(6, "started", at(i % 900), 10 + i) for i in range(25_000)]
+    out = E.run_once(E.lifecycle(stream(spark, str(tmp_path), [[*rows[0], *long], *rows[1:]], schema), None, tie="event_id"), "update")
+    last = {r.job_id: (r.n, r.s.status, r.s.progress) for r in out.groupBy("job_id").agg(F.max("n").alias("n"), F.max_by(F.struct("status", "progress"), "n").alias("s")).collect()}
+    assert last == {1: (3, "processing", 85), 2: (4, "processing", 5), 3: (2, "pending", 0), 4: (3, "succeeded", 100), 5: (3, "pending", 0), 6: (25_004, "pending", 0)}
+
+
 def test_silent_jobs_fail_and_stay_so(spark, tmp_path):
     rows = [[(1, "created", at(0)), (2, "created", at(0))], [(2, "started", at(30)), (3, "created", at(300))], [(4, "created", at(310))], [(1, "started", at(305)), (5, "created", at(320))]]
     out = E.run_once(E.lifecycle(stream(spark, str(tmp_path), rows, "job_id long, step string, ts timestamp")), "update")
