@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.runtime import store_bucketed, spread, table, text_batches
+from marlstone.runtime import release, released, spread, store_bucketed, table, text_batches
 
 BLOCK_CHARS = 16_000_000
 #: Characters for which one more bucket of words is made: a bucket has far fewer distinct words.
@@ -230,6 +230,13 @@ def _planes(raw: bytes) -> np.ndarray:
 
 
 def _assemble(words: pa.Table, docs: pa.Table) -> pa.Table:
+    try:
+        return _assembled(words, docs)
+    finally:
+        release()
+
+
+def _assembled(words: pa.Table, docs: pa.Table) -> pa.Table:
     words = words.sort_by("bucket")
     sizes, flat = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
     for data in words.column("ids").to_pylist():
@@ -275,9 +282,9 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None =
     buckets = max(partitions, -(-chars // bucket_chars))
     # A block's rows are one task's, so they lie in one bucket of the table, and the sequences need no shuffle later. With
     # the blocks the buckets grow, so that each holds a few blocks only.
-    cut = store_bucketed(docs.mapInArrow(_blocks(pattern, block_chars, buckets), BLOCK_SCHEMA), "bpe_blocks", "block", max(partitions, -(-chars // (4 * block_chars))))
+    cut = store_bucketed(docs.mapInArrow(released(_blocks(pattern, block_chars, buckets)), BLOCK_SCHEMA), "bpe_blocks", "block", max(partitions, -(-chars // (4 * block_chars))))
     words = cut.where("kind = 'words'").select("bucket", "block", "data")
-    coded = words.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_encoder(ranks), "block long, bucket int, ids binary")
+    coded = words.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(released(_encoder(ranks)), "block long, bucket int, ids binary")
     seqs = cut.where("kind <> 'words'").select("block", "kind", "place", "ids", "sizes", "data")
     return coded.groupBy("block").cogroup(seqs.groupBy("block")).applyInArrow(_assemble, "doc_id long, ids array<int>")
 
@@ -297,7 +304,7 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
             texts = [b"".join(take[flat[a:b]].tolist()) for a, b in zip(offsets[:-1], offsets[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(texts, pa.binary())], names=["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(released(run), "doc_id long, ids array<int>, decoded binary")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

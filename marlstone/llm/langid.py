@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm._words import numbers
-from marlstone.runtime import spread, table, text_batches
+from marlstone.runtime import released, spread, table, text_batches
 
 UNKNOWN = "und"
 #: Labelled rows a language that the fit reads, by expectation; they are chosen by a hash of the id.
@@ -233,7 +233,7 @@ def train(labelled: DataFrame, vocabulary: str | None = None, sample_rows: int =
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["lang", "word", "n"])
 
     sampled = rows.where(draw < share[F.col("lang")]) if sizes else rows
-    counts = sampled.select("text", "lang").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = sampled.select("text", "lang").mapInArrow(released(count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     # Longs summed by Spark and sorted here: the fit does not depend on the order in which tasks end.
     found = counts.toPandas().sort_values(["lang", "word"])
     return fit(found, read_pieces(vocabulary or default_vocabulary()), sizes, rounds)
@@ -293,7 +293,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64()), pa.array(fits, pa.float64())], names=[*columns, "lang_pred", "score", "fit"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "lang_pred string, score double, fit double"])
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(released(run), schema)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.runtime import spread, table, text_batches
+from marlstone.runtime import released, spread, table, text_batches
 
 KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
@@ -252,7 +252,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, steps: int = STEPS) -
         keys = list(seen)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([k[2] for k in keys], pa.int64()), pa.array([seen[k] for k in keys], pa.int64())], names=["what", "a", "b", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "what string, a long, b long, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text").mapInArrow(released(count), "what string, a long, b long, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n")).collect()
     model = fit({(r.a, r.b): r.n for r in rows if r.what == "node"}, {(r.what, r.a, r.b): r.n for r in rows if r.what in ("chain", "skip")})
     share = min(1.0, sample_docs / max(1, sum(r.n for r in rows if r.what == "text")))
     draw = F.xxhash64(F.lit("pii"), "doc_id", "text") / F.lit(2.0**64) + F.lit(0.5)
@@ -262,7 +262,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, steps: int = STEPS) -
             yield batch.filter(pa.array([graph(t.as_py()) is not None for t in batch.column(0)], pa.bool_()))
 
     drawn = docs.where((draw < share) & F.col("text").rlike("[0-9@]")).select("text")
-    texts = sorted(r.text for r in drawn.mapInArrow(with_mentions, "text string").collect())
+    texts = sorted(r.text for r in drawn.mapInArrow(released(with_mentions), "text string").collect())
     return raise_likelihood([graph(t) for t in texts], model, steps)
 
 
@@ -423,7 +423,7 @@ def find(docs: DataFrame, model: Model, sure: float = SURE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(kind))], names=["doc_id", "spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, spans {SPANS}")
+    return docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {kind}, spans {SPANS}")
 
 
 def redact(docs: DataFrame, model: Model, sure: float = SURE) -> DataFrame:
@@ -441,7 +441,7 @@ def redact(docs: DataFrame, model: Model, sure: float = SURE) -> DataFrame:
             columns[place] = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(released(run), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -329,6 +329,29 @@ def test_words_over_many_buckets(spark):
     assert {r.doc_id: r.ids for r in bpe.encode(df, block_chars=700, bucket_chars=50).collect()} == plain
 
 
+def test_workers_give_memory_back(spark):
+    """What a task held is not held by its worker any more, whether Arrow, numpy or Python had it."""
+    from marlstone.runtime import released
+
+    def rss():
+        return int(open("/proc/self/statm").read().split()[1]) * 4096 / 1e6
+
+    def hold(batches):
+        kept = [np.ones(2000) * i for i in range(20_000)], [pa.array(range(1000)) for _ in range(10_000)], {str(i): [i] for i in range(500_000)}
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([rss()] * len(batch))], names=["mb"])
+        del kept
+
+    def look(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([rss()] * len(batch))], names=["mb"])
+
+    # one partition at a time: the worker of the one before takes the next
+    most = lambda f: spark.range(0, 1, 1, 1).mapInArrow(f, "mb double").first().mb
+    held = most(released(hold))
+    assert most(look) < held - 300
+
+
 def test_mixing_targets_of_many_sources(spark):
     """Several sources above the water level, against rounds of resharing."""
     for sizes in ([100, 100, 100], [0, 7, 7000, 90, 4000, 1, 300, 300], [3000 + 37 * i for i in range(20)], [5], [0, 0]):
