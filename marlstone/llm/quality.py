@@ -30,6 +30,8 @@ EPOCHS = 40
 THRESHOLD = 0.3
 #: Buckets of words whose sums travel together, and partial sums made before the last.
 CHUNK, FANS = 512, 32
+#: Words whose vectors are added up at once.
+PIECE = 1 << 10
 
 _CLASS = np.full(256, 3, np.uint8)
 _CLASS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0
@@ -141,18 +143,24 @@ def word_vectors(sums: np.ndarray) -> np.ndarray:
 
 
 def pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
-    """A row a text: mean of its words' vectors, mean of their squares, how alike neighbours are, and its length."""
+    """A row a text: mean of its words' vectors, mean of their squares, how alike neighbours are, and its length. Sums are
+    in double precision, of PIECE words at a time, so that they stay in the cache."""
+    vectors = vectors.astype(np.float64)
     out = []
-    for _, _, data, offsets in groups(texts, 1 << 19):
+    for row, to, data, offsets in groups(texts, 1 << 19):
         at, begin = tokens(data, offsets, len(vectors))
-        v = vectors[at]
-        sums = lambda x: np.diff(np.concatenate([np.zeros((1, x.shape[1])), np.cumsum(x, axis=0, dtype=np.float64)])[begin], axis=0)
+        sums = np.zeros((to - row, 2 * DIMENSIONS + 1))
+        for i, (lo, hi) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist())):
+            for a in range(lo, hi, PIECE):
+                # one word more at the front, for its neighbour
+                front = int(a > lo)
+                v = vectors[at[a - front : min(hi, a + PIECE)]]
+                sums[i, -1] += np.dot(v[1:].ravel(), v[:-1].ravel())
+                v = v[front:]
+                sums[i, :DIMENSIONS] += v.sum(axis=0)
+                sums[i, DIMENSIONS:-1] += np.einsum("ij,ij->j", v, v)
         n = np.diff(begin)[:, None]
-        beside = np.zeros((len(at), 1))
-        if len(at) > 1:
-            beside[1:, 0] = (v[1:] * v[:-1]).sum(axis=1)
-            beside[begin[:-1][begin[:-1] < len(at)], 0] = 0
-        out.append(np.concatenate([sums(v) / np.maximum(n, 1), sums(v * v) / np.maximum(n, 1), sums(beside) / np.maximum(n - 1, 1), np.log1p(n) / 5], axis=1))
+        out.append(np.concatenate([sums[:, :-1] / np.maximum(n, 1), sums[:, -1:] / np.maximum(n - 1, 1), np.log1p(n) / 5], axis=1))
     return np.concatenate(out) if out else np.zeros((0, 2 * DIMENSIONS + 2))
 
 

@@ -4,9 +4,10 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from marlstone.llm import neardup
+from marlstone.llm import neardup, quality
 from marlstone.llm.components import components, least_reachable
 from tests.llm.test_ops import brute_components, sentence
 
@@ -102,3 +103,16 @@ def test_first_shingles_meet_whatever_the_order(spark):
             keys.setdefault(r.key, set()).add(r.rep)
         met = {p for reps in keys.values() for p in itertools.combinations(sorted(reps), 2)}
         assert want and want <= met
+
+
+def test_pooled_sums_in_double_precision():
+    rng = random.Random(16)
+    texts = [sentence(rng, n) for n in (0, 1, 2, 1024, 1025, 3000)] + [None]
+    vectors = quality.word_vectors(np.random.default_rng(1).integers(-50, 50, (1 << 10, quality.DIMENSIONS)))
+    got = quality.pooled(pa.array(texts, pa.string()), vectors)
+    for row, text in zip(got, texts):
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        v = vectors[quality.tokens(data, np.array([0, len(data)]), len(vectors))[0]].astype(np.float64)
+        n = len(v)
+        want = [*v.sum(axis=0) / max(n, 1), *(v * v).sum(axis=0) / max(n, 1), (v[1:] * v[:-1]).sum() / max(n - 1, 1), np.log1p(n) / 5]
+        assert np.abs(row - want).max() < 1e-12
